@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoplex.llm import decontaminate, mixing, simhash, storage, tokencount, tokenfile, toxicity
+from orthoplex.llm import decontaminate, langid, mixing, simhash, storage, tokencount, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.digest(langid.identify(docs.select("doc_id", "text"), docs))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.fresh_path(spark, "token-files")
     tokenfile.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=2)
