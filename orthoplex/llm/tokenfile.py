@@ -69,6 +69,11 @@ class Encoder:
         split = [s for s in (said.get("pre_tokenizer") or {}).get("pretokenizers", []) if s.get("type") == "Split"]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["pattern"].get("Regex", "").startswith("'s|'t|'re|'ve|'m|'ll|'d|") and split[0].get("invert", False)
         self.words: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        suffix = (said.get("model") or {}).get("end_of_word_suffix")
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -79,6 +84,18 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of single words: encoded as one text and cut after every id that ends a word."""
+        if not words:
+            return []
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._library(words)
+        packed, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        cuts = (ends * width).tolist()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         split: dict[int, list[str]] = {}
@@ -94,7 +111,7 @@ class Encoder:
         if len(self.words) > CACHE_WORDS:
             self.words = {}
         fresh = [w for w in wanted if w not in self.words]
-        self.words.update(zip(fresh, self._library(fresh), strict=True))
+        self.words.update(zip(fresh, self._each(fresh), strict=True))
         known = self.words.__getitem__
         for i, some in split.items():
             out[i] = b"".join(map(known, some))
