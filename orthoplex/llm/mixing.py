@@ -20,10 +20,11 @@ an empty table gives an empty result; targets of sources without words are 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthoplex.llm import storage
+from orthoplex.llm.ranges import running
 
 FAN = 24
 MAX_BROADCAST_SOURCES = 100_000
@@ -35,21 +36,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Adds ``place`` (from 0) and, for each of ``sums``, the total over earlier rows, without bringing all rows to one task."""
-    dealt = storage.stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
-    totals = dealt.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ["__n", *[f"__{c}" for c in sums]]])
-    inside = Window.partitionBy("__part").orderBy(*order)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(F.broadcast(offsets), "__part")  # one row for each partition
-    out = out.withColumn("place", F.col("__n_before") + F.row_number().over(inside) - 1)
-    for c, name in sums.items():
-        out = out.withColumn(name, F.col(f"__{c}_before") + F.coalesce(F.sum(c).over(earlier), F.lit(0)))
-    return out.select(*df.columns, "place", *sums.values())
-
-
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, source_size, units, target) from (source, source_size, units).
 
@@ -57,10 +43,10 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), sh
     level x of target = min(cap, x * weight) spends the whole amount; of the levels
     found by capping the first k sources (least cap for their weight), x is the largest.
     """
-    ranked = _running(sizes, [F.col("source").asc_nulls_last()], {})
+    ranked = running(sizes, [F.col("source").asc_nulls_last()], {})
     weighted = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
     capped = weighted.withColumn("cap", F.col("source_size") * F.lit(float(cap)))
-    cumulated = _running(capped, [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], {"cap": "caps", "weight": "spent"})
+    cumulated = running(capped, [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], {"cap": "caps", "weight": "spent"})
     total = sizes.agg(F.sum("source_size").alias("words"), F.sum("units").alias("n")).first()
     weight = weighted.agg(F.sum("weight")).first()[0] or 0
     amount = F.lit(float(total["words"] or 0) * share)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoplex.llm import decontaminate, htmltext, langid, mixing, quality, simhash, storage, tokencount, tokenfile, toxicity
+from orthoplex.llm import decontaminate, htmltext, langid, linedup, mixing, quality, simhash, storage, tokencount, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.digest(linedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.digest(langid.identify(docs.select("doc_id", "text"), docs))
