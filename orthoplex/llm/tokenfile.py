@@ -10,7 +10,7 @@ significant bit first, and ``checkpoints``: the bit offset of every ``EVERY``-th
 id.  Blocks decode on their own, and every checkpoint starts a lane of the
 table-driven decoder, so all lanes of a block advance together.
 
-Order: ascending doc_id, nulls last; equal ids by the crc32 of their token ids.
+Order: ascending doc_id, nulls last; equal ids by a hash of their token ids.
 Edge cases: a null text counts as empty and holds the end id alone; repeated rows
 are kept as separate documents; an empty table gives an empty file set; a document
 longer than a block is a block of its own; columns besides id and text are ignored.
@@ -34,7 +34,9 @@ from pyspark.sql import types as T
 from orthoplex.llm import storage
 
 BLOCK_IDS, EVERY, LIMIT = 1 << 16, 1024, 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+
+_BEYOND = re.compile("[^\0-\xff]").search
 
 # The split pattern of this kind of vocabulary, for lower-cased text whose characters are all below U+0100.
 _WORD = re.compile(
@@ -98,23 +100,28 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        known = self.words.get
+        found: dict[int, list] = {}
+        holes: list[tuple[list, int, str]] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
-            if self.by_word and (text.isascii() or max(text) <= "\xff") and not any(a in text for a in self.added):
-                split[i] = _WORD.findall(text.lower())
-            else:
+            if not self.by_word or not (text.isascii() or not _BEYOND(text)) or any(a in text for a in self.added):
                 whole.append(i)
-        wanted: set[str] = set()
-        for some in split.values():
-            wanted.update(some)
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        fresh = [w for w in wanted if w not in self.words]
+                continue
+            words = _WORD.findall(text.lower())
+            found[i] = ids = list(map(known, words))
+            k = -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                holes.append((ids, k, words[k]))
+        fresh = list(dict.fromkeys(w for _, _, w in holes))
         self.words.update(zip(fresh, self._each(fresh), strict=True))
-        known = self.words.__getitem__
-        for i, some in split.items():
-            out[i] = b"".join(map(known, some))
+        for ids, k, word in holes:
+            ids[k] = self.words[word]
+        for i, ids in found.items():
+            out[i] = b"".join(ids)
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out  # type: ignore[return-value]
@@ -138,18 +145,13 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
                 [
                     batch.column(0).slice(i, j - i),
                     pa.array([len(x) // width for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(_as_u4(x, encoder.kind)) for x in ids], pa.int64()),
                     pa.array(ids, pa.binary()),
                 ],
-                ["doc_id", "n", "crc", "ids"],
+                ["doc_id", "n", "ids"],
             )
             i = j
 
 
-def _as_u4(ids: bytes, kind: str) -> bytes:
-    return ids if kind == "<u4" else np.frombuffer(ids, kind).astype("<u4").tobytes()
-
-
 def _count(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
     for batch in batches:
@@ -297,10 +299,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, tex
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = plain.schema["doc_id"].dataType
     kind = Encoder.at(tokenizer).kind
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
     encoded = plain.mapInArrow(lambda it: _encode(it, tokenizer, end_id), schema)
     # identical rows are told apart by a number, so that a huge group of them is not one range
-    ids_path = storage.write(encoded.withColumn("row", F.xxhash64(F.monotonically_increasing_id())), "token-ids")
+    ids_path = storage.write(encoded.select("*", F.xxhash64("ids").alias("mark"), F.xxhash64(F.monotonically_increasing_id()).alias("row")), "token-ids")
     ids = spark.read.parquet(ids_path)
     counts = ids.select("ids").mapInArrow(lambda it: _count(it, kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     symbols, freq = np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], np.int64)
@@ -308,7 +310,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, tex
     spark.createDataFrame(list(zip(symbols.tolist(), lengths.tolist(), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
     shared = spark.sparkContext.broadcast((symbols, lengths))
     arrow_id = to_arrow_type(id_type)
-    order = [F.col("doc_id").asc_nulls_last(), F.col("crc"), F.col("row")]
+    order = [F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("row")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
     blocks = T.StructType([
@@ -328,8 +330,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, tex
 def _decode(batches: Iterator[pa.RecordBatch], key: str, shared, with_ids: bool) -> Iterator[pa.RecordBatch]:
     code = _code(key, shared)
     for batch in batches:
-        for k in range(0, len(batch), 16):
-            some = batch.slice(k, 16)
+        for k in range(0, len(batch), 64):
+            some = batch.slice(k, 64)
             n_ids = some.column(2).to_pylist()
             found = code.unpack(some.column(6).to_pylist(), n_ids, some.column(5).to_pylist())
             part, doc, start, size, crc, tokens = [], [], [], [], [], []
