@@ -7,7 +7,7 @@ that are neighbours in the page, and blocks that share a parent element, are tie
 by smoothness edges, the tighter the nearer they stand in the tree.  The minimum
 cut, found by maximum flow, is the labelling of least total cost.
 
-The classifier is trained on a bounded sample of pages (``TRAIN_PAGES``): blocks
+The classifier is trained on a bounded sample of about ``TRAIN_PAGES`` pages: blocks
 inside the primary article are examples of content, those below navigation, footer,
 form, advert, notice or comment elements examples of boilerplate; structural
 features are hidden from half the examples so that text features learn too, and
@@ -363,7 +363,10 @@ def _extract(batches: Iterator[pa.RecordBatch], shared, html_at: int) -> Iterato
 
 def main_text(pages: DataFrame, *, html_column: str = "html", page_id: str = "page_id") -> DataFrame:
     """``pages`` with text and n_chars in place of the html column."""
-    sample = pages.where(F.col(html_column).isNotNull()).orderBy(F.xxhash64(page_id), page_id).select(html_column).limit(TRAIN_PAGES).collect()
+    plain = pages.select(F.col(html_column).alias("html"), F.xxhash64(page_id).alias("o")).where("html is not null")
+    total = pages.count()
+    cut = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, TRAIN_PAGES / max(1, total))))
+    sample = plain.where(F.col("o") <= cut).select("html").collect()  # about TRAIN_PAGES rows
     shared = pages.sparkSession.sparkContext.broadcast(train(sorted(r[0] for r in sample)))
     source = at.drop_clashing(pages, {"text", "n_chars"} - {html_column.lower()})
     html_at = [c.lower() for c in source.columns].index(html_column.lower())
