@@ -44,37 +44,48 @@ def normalised_words(text: str) -> list[bytes]:
     return _WORD_RE.findall(text.encode("utf-8", "surrogatepass").translate(_TO_LOWER))
 
 
-def windows_of(items: list[tuple[int, str]], n: int) -> dict[bytes, tuple]:
-    """Item ids by space-joined window."""
-    found: dict[bytes, set] = defaultdict(set)
-    for item, text in items:
-        if item is None or text is None:
-            continue
-        w = normalised_words(text)
-        size = min(n, len(w))
-        for k in range(len(w) - size + 1 if size else 0):
-            found[b" ".join(w[k : k + size])].add(item)
-    return {k: tuple(sorted(v)) for k, v in found.items()}
-
-
 class WindowIndex:
-    """Hashes of windows by their number of words, with a bitmap in front."""
-
-    def __init__(self, windows: dict[bytes, tuple]) -> None:
-        self.windows = windows
-        by_size: dict[int, list[bytes]] = defaultdict(list)
-        for w in windows:
-            by_size[w.count(b" ") + 1].append(w)
-        self.sizes = {}
-        for size, some in by_size.items():
-            data = np.frombuffer(b"".join(some), np.uint8)
-            lengths = np.array([len(w) for w in some], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            begins, ends, _ = at.words(data, offsets, WORD)
-            hashes = np.unique(at.ngram_hashes(at.span_hashes(data, begins, ends), size)[::size])
+    """Windows of the items by the hash of their words, with a bitmap in front.
+
+    Holds the items' words once and, for each window length, sorted hashes and where
+    each window begins; the words themselves decide whether a hash is a hit.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
+        texts = [(i, t.encode("utf-8", "surrogatepass").translate(_TO_LOWER)) for i, t in items if i is not None and t is not None]
+        self.ids = [i for i, _ in texts]
+        self.data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in texts], dtype=np.int64)])
+        self.begins, self.ends, bounds = at.words(self.data, offsets, WORD) if len(self.data) else (np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64))
+        counts = np.diff(bounds)
+        self.item = np.repeat(np.arange(len(texts)), counts)
+        hashes = at.span_hashes(self.data, self.begins, self.ends)
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.known: dict[tuple[int, int], dict[bytes, tuple]] = {}
+        width = np.minimum(counts, n)
+        for size in np.unique(width[width > 0]).tolist():
+            whole = np.flatnonzero(width[self.item] == size)
+            starts = whole[whole + size <= bounds[self.item[whole] + 1]]
+            grams = at.ngram_hashes(hashes, size)[starts]
+            order = np.argsort(grams, kind="stable")
             bitmap = np.zeros(1 << _FILTER_BITS, bool)
-            bitmap[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.sizes[size] = (hashes, bitmap)
+            bitmap[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+            self.sizes[size] = (grams[order], starts[order], bitmap)
+
+    @staticmethod
+    def _window(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, k: int, size: int) -> bytes:
+        return b" ".join(data[a:b].tobytes() for a, b in zip(begins[k : k + size].tolist(), ends[k : k + size].tolist(), strict=True))
+
+    def _items(self, size: int, gram: np.uint64) -> dict[bytes, tuple]:
+        """Ids of the items by window, of all windows with this hash."""
+        key = (size, int(gram))
+        if key not in self.known:
+            grams, starts, _ = self.sizes[size]
+            found: dict[bytes, set] = defaultdict(set)
+            for k in starts[np.searchsorted(grams, gram, "left") : np.searchsorted(grams, gram, "right")].tolist():
+                found[self._window(self.data, self.begins, self.ends, k, size)].add(self.ids[self.item[k]])
+            self.known[key] = {w: tuple(i) for w, i in found.items()}
+        return self.known[key]
 
     def hits(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, tuple]]:
         """First word, number of words and items of every verified occurrence."""
@@ -83,7 +94,7 @@ class WindowIndex:
             return out
         of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         hashes = at.span_hashes(data, begins, ends)
-        for size, (known, bitmap) in self.sizes.items():
+        for size, (known, _, bitmap) in self.sizes.items():
             if len(begins) < size:
                 continue
             grams = at.ngram_hashes(hashes, size)
@@ -92,20 +103,19 @@ class WindowIndex:
             at_known = np.minimum(np.searchsorted(known, grams[near]), len(known) - 1)
             near = near[known[at_known] == grams[near]]
             for k in near.tolist():
-                window = b" ".join(data[begins[i] : ends[i]].tobytes() for i in range(k, k + size))
-                items = self.windows.get(window)
+                items = self._items(size, grams[k]).get(self._window(data, begins, ends, k, size))
                 if items is not None:
                     out.append((k, size, items))
         return out
 
 
-_INDEX: dict[int, WindowIndex] = {}
+_INDEX: dict[str, WindowIndex] = {}
 
 
 def _index(shared) -> WindowIndex:
     if shared.id not in _INDEX:
         _INDEX.clear()
-        _INDEX[shared.id] = WindowIndex(shared.value)
+        _INDEX[shared.id] = WindowIndex(*shared.value)
     return _INDEX[shared.id]
 
 
@@ -167,7 +177,7 @@ def _runs(inside: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[dict
     return [{"begin": int(begins[a]), "end": int(ends[b - 1])} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside benchmark windows), hit_items (sorted ids) and hit_spans (UTF-8 byte ranges)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
@@ -189,8 +199,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     ])
     for k in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        windows = windows_of([(r[0], r[1]) for r in some.collect()], n)
-        held = spark.sparkContext.broadcast(windows)
+        held = spark.sparkContext.broadcast(([(r[0], r[1]) for r in some.collect()], n))
         shared = _Shared(held, f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}")
         first = k == 0
         out = out.mapInArrow(lambda it, s=shared, f=first: _scan(it, s, text_at, arrow_kind, f), schema)

@@ -17,8 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this application's intermediates are."""
+    return f"{shared_dir(spark)}/orthoplex/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/orthoplex/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write(df: DataFrame, name: str) -> str:
@@ -38,3 +43,8 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediates of this application; DataFrames that read them are void afterwards."""
+    remove(spark, session_dir(spark))

@@ -2,11 +2,11 @@
 
 Voters are word and word-start patterns that a bounded sample of labelled rows
 associates with toxicity, and the annotator's own label.  A generative label
-model gives each voter its firing rate in either class (its accuracy) and all
-voters one common covariance (their correlations), fitted by expectation
-maximisation; overlapping patterns therefore do not count twice.  Its posterior,
-not the raw label, trains a linear classifier over presence of patterns, which
-then scores every whole text in one map without a shuffle.
+model, fitted by expectation maximisation, estimates each voter's firing rate in
+either class (its accuracy) and the correlations of the voters within a class, by
+which overlapping patterns share their weight.  Its posterior, not the raw label,
+trains a linear classifier over presence of patterns, which then scores every whole
+text in one map without a shuffle.
 
 Bounds: at most ``max_labelled`` labelled rows of each class (the ones with the
 least hashes of their ids) shape the model; the model is at most ``MAX_FEATURES``
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from orthoplex.llm import arrowtext as at
 
-MAX_LABELLED, MAX_FEATURES, VOTERS, PREFIXES = 1500, 4096, 48, (3, 4, 5, 6, 7, 8)
+MAX_LABELLED, MAX_FEATURES, VOTERS, PREFIXES = 1500, 4096, 128, (3, 4, 5, 6, 7, 8)
 _LETTER = at.table(set(range(0x61, 0x7B)) | set(range(0x80, 0x100)))
 _BITS = 22
 
@@ -70,18 +70,28 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["toxic", "found"])
 
 
-def posterior(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Probability of class 1 from binary votes, of which the label is one more voter with an accuracy of its own."""
-    x = np.column_stack([votes, labels]).astype(np.float64)
-    p = 0.05 + 0.9 * labels
+def posterior(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 15) -> np.ndarray:
+    """Probability of class 1 from binary votes and a label that may be wrong.
+
+    Voters fire at a rate of their own in either class.  Their correlations within the
+    classes discount them: voters that fire together share the weight of one.  The label
+    starts the estimate and then is one more voter, whose rates follow from how often it
+    agrees with the others (and are kept off 0 and 1, so it can be outvoted).
+    """
+    n = weights.sum()
+    p = 0.1 + 0.8 * labels
     for _ in range(rounds):
         a, b = weights * p, weights * (1 - p)
-        up, down = (a @ x + 0.02) / (a.sum() + 0.04), (b @ x + 0.02) / (b.sum() + 0.04)
-        spread = ((x - up) * a[:, None]).T @ (x - up) + ((x - down) * b[:, None]).T @ (x - down)
-        spread = spread / weights.sum()
-        spread = 0.8 * spread + 0.2 * np.diag(np.diag(spread)) + 1e-3 * np.eye(x.shape[1])
-        slope = np.linalg.solve(spread, up - down)
-        odds = (x - (up + down) / 2) @ slope + np.log(a.sum() / b.sum())
+        up, down = (a @ votes + 0.05) / (a.sum() + 0.1), (b @ votes + 0.05) / (b.sum() + 0.1)
+        spread = ((votes - up) * a[:, None]).T @ (votes - up) + ((votes - down) * b[:, None]).T @ (votes - down)
+        size = np.sqrt(np.diag(spread) + 1e-9 * n)
+        share = 1 / np.maximum(1.0, np.clip(spread / np.outer(size, size), 0, 1).sum(1) - np.clip(np.diag(spread) / size**2, 0, 1) + 1)
+        fire, quiet = np.log(up / down) * share, np.log((1 - up) / (1 - down)) * share
+        odds = votes @ (fire - quiet) + quiet.sum() + np.log(a.sum() / b.sum())
+        alone = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        right, wrong = (weights * alone) @ labels / (weights @ alone + 1e-9), (weights * (1 - alone)) @ labels / (weights @ (1 - alone) + 1e-9)
+        right, wrong = np.clip(right, 0.05, 0.97), np.clip(wrong, 0.02, 0.9)
+        odds = odds + np.where(labels > 0, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return np.clip(p, 0.01, 0.99)
 
@@ -105,6 +115,17 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, target: np.nda
     return w, bias if np.isfinite(bias) else base
 
 
+def _different(votes: np.ndarray, most: int, overlap: float = 0.75) -> list[int]:
+    """At most ``most`` columns, in order, that overlap with no column taken before (as intersection over union)."""
+    sizes, both = votes.sum(0), votes.T @ votes
+    taken: list[int] = []
+    for k in range(votes.shape[1]):
+        shared = both[k, taken]
+        if len(taken) < most and not np.any(shared > overlap * (sizes[k] + sizes[taken] - shared)):
+            taken.append(k)
+    return taken
+
+
 class Model:
     """Sorted feature hashes with weights, and a bias."""
 
@@ -157,12 +178,13 @@ def fit(labels: np.ndarray, lists: list[np.ndarray], weights: np.ndarray) -> Mod
     c = rank[cols]
     inside = c >= 0
     r, c = rows[inside], c[inside]
-    voters = np.flatnonzero(z[chosen] > 0)[:VOTERS]
+    candidates = np.flatnonzero(z[chosen] > 0)[: 8 * VOTERS]
     place = np.full(len(chosen), -1)
-    place[voters] = np.arange(len(voters))
-    votes = np.zeros((n, len(voters)))
+    place[candidates] = np.arange(len(candidates))
+    votes = np.zeros((n, len(candidates)))
     vote = place[c] >= 0
     votes[r[vote], place[c[vote]]] = 1
+    votes = votes[:, _different(votes, min(VOTERS, max(12, int(pos) // 3)))]
     soft = posterior(votes, y, weights)
     w, bias = _logistic(r, c, n, len(chosen), soft, weights)
     keep = np.abs(w) > 1e-3
