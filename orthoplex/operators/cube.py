@@ -143,14 +143,14 @@ class Cube:
         required = tuple(dict.fromkeys(d for m in measures for d in m.requires))
         joined = self._star(fact, q, filters, g, [m for m in timed if m not in odd], required)
         if not plain and timed and len(timed) > len(odd):
-            any_flag = reduce(lambda a, b: a | b, [F.expr(f) for f in {self._flag(m, q, filters) for m in timed if m not in odd}])
+            any_flag = reduce(lambda a, b: a | b, [F.expr(f) for f in {self._flag(m) for m in timed if m not in odd}])
             joined = joined.where(any_flag)
         keys = self._keys(fact, q)
         aggregates = []
         for m in [*plain, *[m for m in timed if m not in odd]]:
             text = to_spark(m.sql)
             if m.time is not None:
-                text = single_aggregate(text).text(self._flag(m, q, filters))
+                text = single_aggregate(text).text(self._flag(m))
             aggregates.append(F.coalesce(F.expr(text).cast("double"), F.lit(0.0)).alias(m.id))
         frames = []
         if aggregates:
@@ -224,14 +224,15 @@ class Cube:
                     side = side.where(self._holds(d, f, rel.table, None))
                 side = self._small(side.select(F.col(f"`{rel.column}`").alias("__key")), rel.table)
                 out = out.join(side, F.col(f"f.`{rel.fact_column}`") == F.col("__key"), "left_semi")
+        present = {alias_of(self.model.dimension(n)) for n in grouped | secured}
         for m in timed:
-            alias = self._flag_alias(m, q, filters)
-            if alias and alias not in {alias_of(self.model.dimension(n)) for n in grouped | secured} and not getattr(out, f"_has{alias}", False):
+            alias = self._flag_alias(m)
+            if alias not in present:
                 date, rel = self.model.date_dimension_of(m), self._date_relationship(m, fact)
-                flags = {x.time.flag for x in timed if self._flag_alias(x, q, filters) == alias}
+                flags = {x.time.flag for x in timed if self._flag_alias(x) == alias}
                 days = self.table(date.table).select(F.col(f"`{date.key}`"), *sorted(flags)).alias(alias)
                 out = out.join(self._small(days, date.table), F.col(f"f.`{rel.fact_column if rel else date.key}`") == F.col(f"{alias}.`{date.key}`"), "left")
-                setattr(out, f"_has{alias}", True)
+                present.add(alias)
         for access, _ in self._predicates(fact, g):
             out = out.where(F.expr(to_spark(access.predicate)))
         return out
@@ -261,13 +262,13 @@ class Cube:
         role = self.model.find_dimension(date.dimension) if date.dimension else None
         return self.model.relationship(role, fact) if role else None
 
-    def _flag_alias(self, m: Measure, q: CubeQuery, filters: list[Filter]) -> str:
+    def _flag_alias(self, m: Measure) -> str:
         date = self.model.date_dimension_of(m)
         role = self.model.find_dimension(date.dimension) if date.dimension else None
         return alias_of(role) if role else "_calendar"
 
-    def _flag(self, m: Measure, q: CubeQuery, filters: list[Filter]) -> str:
-        return f"{self._flag_alias(m, q, filters)}.`{m.time.flag}`"
+    def _flag(self, m: Measure) -> str:
+        return f"{self._flag_alias(m)}.`{m.time.flag}`"
 
     def _holds(self, d: Dimension, f: Filter, table: str, alias: str | None) -> Column:
         """Whether a row belongs to one of the members: levels of a path are AND-ed, members OR-ed."""
