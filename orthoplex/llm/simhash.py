@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from orthoplex.llm import arrowtext as at
 from orthoplex.llm import storage
 
-MAX_SAMPLE = 1 << 20
+MAX_SAMPLE, MAX_TASKS = 1 << 20, 20_000
 _LEAF = 96
 
 #: For each byte, its bits spread over the eight bytes of a word, lowest bit first.
@@ -228,7 +228,9 @@ def links(distinct: DataFrame, *, distance: int = 2, shard_rows: int = 4096) ->
     sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
     tree, _ = build_tree(sample, max(8, len(sample) // shards), distance) if shards > 1 else (0, 1)
     routed = distinct.select("fp").mapInArrow(lambda it: _route_batches(it, tree, distance), "shard int, fp long")
-    return routed.groupBy("shard").applyInArrow(lambda t: _link_shard(t, distance), "a long, b long")
+    # few bytes but much work each: dealt out by number, so that adaptive execution does not put many into one task
+    dealt = routed.repartition(min(3 * shards, MAX_TASKS), "shard")
+    return dealt.groupBy("shard").applyInArrow(lambda t: _link_shard(t, distance), "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
