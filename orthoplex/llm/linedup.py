@@ -64,7 +64,7 @@ def _windows(active: DataFrame, min_words: int) -> DataFrame:
 
 def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(pos, rank): suffixes by the order of ``keys``, those alone with theirs dropped."""
-    groups = pairs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    groups = pairs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)  # ``running`` deals them anew by range
     order = running(groups, [F.col(k).asc() for k in keys], {}).withColumnRenamed("place", "rank")
     return storage.stored(pairs.join(order, keys).select("pos", "rank"), "ranks")
 
@@ -82,7 +82,8 @@ def suffix_ranks(first: DataFrame, rounds: int) -> list[DataFrame]:
 def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(pos) of every line that stands in a run of ``min_words`` words which occurs before; from (rid, pos, h1, h2, words)."""
     spark = lines.sparkSession
-    twice = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    # written, so that the join meets plain exchanges on both sides and a hot line can be split
+    twice = storage.stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated-ids")
     active = storage.stored(lines.join(twice, ["h1", "h2"]).select("rid", "pos", "h1", "h2", "words"), "repeated-lines")
     windows = storage.stored(_windows(active.select("rid", "pos", "words"), min_words), "windows")
     longest = windows.agg(F.max("m")).first()[0]
@@ -97,7 +98,7 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         found = some.join(left, "pos").withColumn("tail", F.col("pos") + F.col("m") - (1 << k)).join(right, "tail").select("pos", "m", "r1", "r2")
         known = found if known is None else known.unionByName(found)
     known = storage.stored(known, "window-ranks")
-    earliest = known.groupBy("m", "r1", "r2").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "r1", "r2", "first")
+    earliest = storage.stored(known.groupBy("m", "r1", "r2").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "r1", "r2", "first"), "earliest")
     copies = known.join(earliest, ["m", "r1", "r2"]).where("pos > first")
     return copies.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("m") - 1)).alias("pos")).distinct()
 
