@@ -397,7 +397,7 @@ def equals(column: Column, kind: T.DataType, keys: list[str]) -> Column:
 
 
 def apply_set_op(df: DataFrame, op: SetOp, measure: str, labels: list[str]) -> DataFrame:
-    """TopCount, BottomCount, TopPercent (of rows), Order and Filter over grouped rows; ties in label order."""
+    """TopCount, BottomCount, TopPercent (of rows; of the total where op is "value"), Order and Filter over grouped rows; ties in label order."""
     value, ties = F.col(f"`{measure}`"), [F.col(f"`{c}`").asc() for c in labels]
     if op.kind == "top":
         return df.orderBy(value.desc(), *ties).limit(int(op.n))
@@ -406,7 +406,12 @@ def apply_set_op(df: DataFrame, op: SetOp, measure: str, labels: list[str]) -> D
     if op.kind == "order":
         return df.orderBy(value.desc() if op.descending else value.asc(), *ties)
     if op.kind == "percent":
-        # members of one axis: as many rows as a client shows
+        # a window over the members of one axis: as many rows as a client shows
+        if op.op == "value":  # the fewest top members that reach the share of the total
+            order = Window.orderBy(value.desc(), *ties)
+            before = F.coalesce(F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            shares = df.select("*", before.alias("__before"), F.sum(value).over(Window.partitionBy()).alias("__total"))
+            return shares.where(F.col("__before") < F.col("__total") * F.lit(float(op.n)) / 100).drop("__before", "__total")
         ranked = df.select("*", F.row_number().over(Window.orderBy(value.desc(), *ties)).alias("__place"), F.count("*").over(Window.partitionBy()).alias("__of"))
         return ranked.where(F.col("__place") <= F.ceil(F.col("__of") * F.lit(float(op.n)) / 100)).drop("__place", "__of")
     if op.kind == "filter":

@@ -29,3 +29,13 @@ def cumulative(cube: Cube, measure: str, dimension: str, level: int, *, filters:
     order = [F.col(f"`{n}`").try_cast("long") for n in names[1:]] + [F.col(f"`{n}`") for n in names[1:]]
     running = Window.partitionBy(names[0]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running", F.sum(f"`{m.id}`").over(running))
+
+
+def nested(cube: Cube, measure: str, inner: tuple[Group, ...], outer: tuple[Group, ...] = (), function: str = "avg", *, filters: tuple[Filter, ...] = (), user: User | None = None) -> DataFrame:
+    """An aggregate of a measure's values per group: by ``outer``, the average (sum, min, max, count, median) over ``inner``."""
+    if function not in ("avg", "sum", "min", "max", "count", "median"):
+        raise ValueError(f"unknown function {function!r}")
+    rows = cube.dataframe(CubeQuery("group", (measure,), (*outer, *inner), filters), user, ordered=False)
+    labels = cube.labels((*outer, *inner))[: len(cube.labels(outer))]
+    value = getattr(F, function)(F.col(f"`{measure}`")).cast("double").alias(measure)
+    return rows.groupBy(*[F.col(f"`{c}`") for c in labels]).agg(value) if labels else rows.agg(value)

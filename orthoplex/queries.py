@@ -14,7 +14,7 @@ from orthoplex.functions.dax import Lowerer
 from orthoplex.operators import rollup
 from orthoplex.operators.cube import Cube
 from orthoplex.operators.members import child_counts, children, members
-from orthoplex.operators.series import cumulative
+from orthoplex.operators.series import cumulative, nested
 from orthoplex.plans.model import Model, User, model_from_dict
 
 AS_OF = dt.date(2000, 6, 15)
@@ -392,6 +392,27 @@ _mdx(
 )
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthoplex.plans.query import Group
+
+    return _plain(nested(cube(spark, sf_dir), "net", (Group("Part Brand"),), (Group("Return Flag"),), "max"))
+
+
+def _top_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthoplex.plans.query import CubeQuery, Group, SetOp
+
+    return _plain(cube(spark, sf_dir).dataframe(CubeQuery("group", ("qty",), (Group("Part Brand"),), set_ops=(SetOp("percent", 30, op="value"),))))
+
+
+_register("q61_nested_aggregate", _nested, "SELECT return_flag, MAX(net) AS net FROM (SELECT l_returnflag AS return_flag, p_brand, {NET} AS net FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) t GROUP BY 1")
+_register(
+    "q62_toppercent_of_value",
+    _top_value,
+    "SELECT part_brand, qty FROM (SELECT part_brand, qty, COALESCE(SUM(qty) OVER (ORDER BY qty DESC, part_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b, SUM(qty) OVER () t "
+    "FROM (SELECT p_brand AS part_brand, {QTY} AS qty FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) u) v WHERE b < t * 30 / 100",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -1,7 +1,7 @@
 """XML for Analysis: requests in, rowsets and cellsets out.
 
 A thin shell: the body of a SOAP request is parsed, the engine answers, and the
-answer is written as XML.  The caller's identity comes from a trusted header.
+answer is written as XML.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from orthoplex.operators.cube import Cube
 from orthoplex.operators.rowsets import rowset
 from orthoplex.plans import mdx
 from orthoplex.plans.model import User
+from orthoplex.server.identity import user_of
 
 MAX_BODY = 1 << 20
 
@@ -144,11 +145,8 @@ def respond(cube: Cube, body: str, user: User | None = None) -> str:
         return fault(str(e).strip("'\""))
 
 
-def make_server(cube: Cube, address: tuple[str, int] = ("127.0.0.1", 8080), *, trace: Callable[[dict], None] | None = None) -> ThreadingHTTPServer:
-    """POST /xmla answers requests; the identity is the trusted header's where the model says so."""
-    auth = cube.model.auth or {}
-    header = auth.get("trusted_header", "X-User") if auth.get("trusted_proxy") else None
-
+def make_server(cube: Cube, address: tuple[str, int] = ("127.0.0.1", 8080), *, trace: Callable[[dict], None] | None = None, keys: list[dict] | None = None) -> ThreadingHTTPServer:
+    """POST /xmla answers requests; the identity comes from a token signed by one of ``keys`` or from a trusted header, as the model says."""
     class Handler(BaseHTTPRequestHandler):
         def do_POST(self) -> None:
             size = int(self.headers.get("Content-Length") or 0)
@@ -156,8 +154,7 @@ def make_server(cube: Cube, address: tuple[str, int] = ("127.0.0.1", 8080), *, t
                 self.send_error(413 if size > MAX_BODY else 404)
                 return
             body = self.rfile.read(size).decode("utf-8", "replace")
-            name = self.headers.get(header) if header else None
-            user = User(name, tuple(filter(None, (self.headers.get("X-Groups") or "").split(",")))) if name else None
+            user = user_of(self.headers, cube.model.auth, keys)
             began = time.perf_counter()
             answer = respond(cube, body, user)
             if trace:
