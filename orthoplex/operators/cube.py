@@ -2,9 +2,11 @@
 
 One pass over a fact answers all of its measures: dimensions that are grouped,
 filtered or secured are joined once (inner, by their key), those that only restrict
-become left semi joins, time flags become FILTER clauses.  The size of a join's
-small side is left to Spark's statistics and adaptive execution; only calendars,
-bounded by ``MAX_DAYS``, are marked for broadcast.
+become left semi joins, time flags become FILTER clauses.  A dimension's
+side is broadcast where its measured size allows (one small job per dimension table
+and cube: Catalyst's own estimate of a flattened dimension is the product of its
+inputs, which would shuffle the fact instead); beyond that Spark joins by shuffle and
+adaptive execution splits what is skewed.  Calendars are bounded by ``MAX_DAYS``.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from orthoplex.plans.security import NONE, Access, Grant, grant
 
 ALL = "All"
 MAX_DRILLTHROUGH = 1000
+#: Bytes of a dimension table up to which its side of a join is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def alias_of(dimension: Dimension) -> str:
@@ -36,8 +40,9 @@ def alias_of(dimension: Dimension) -> str:
 class Cube:
     """A model over tables."""
 
-    def __init__(self, spark: SparkSession, model: Model, tables: Mapping[str, DataFrame], *, calendars: frozenset[str] = frozenset(), prefix_levels: bool = True) -> None:
+    def __init__(self, spark: SparkSession, model: Model, tables: Mapping[str, DataFrame], *, calendars: frozenset[str] = frozenset(), prefix_levels: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> None:
         self.spark, self.model, self.tables = spark, model, dict(tables)
+        self.broadcast_bytes, self._sizes = broadcast_bytes, {}
         self.calendars, self.prefix_levels = calendars, prefix_levels
         self.rollups: list[rollups.Rollup] = []
         self._schemas: dict[str, T.StructType] = {}
@@ -213,6 +218,8 @@ class Cube:
                     out = out.where(self._holds(d, f, fact.table, "f"))
                 continue
             dim = self.table(rel.table)
+            if name in filtered and rel.table in self.calendars:
+                out = out.where(self._key_range(d, rel, filtered[name]))
             if name in grouped or name in secured:
                 side = dim if name in secured or name in required else dim.select(*self._needed(d, rel, filtered.get(name, []), timed, fact))
                 out = out.join(self._small(side, rel.table).alias(alias_of(d)), F.col(f"f.`{rel.fact_column}`") == F.col(f"{alias_of(d)}.`{rel.column}`"))
@@ -247,7 +254,28 @@ class Cube:
         return out
 
     def _small(self, side: DataFrame, table: str) -> DataFrame:
-        return F.broadcast(side) if table in self.calendars else side
+        return F.broadcast(side) if table in self.calendars or self._bytes(table) <= self.broadcast_bytes else side
+
+    def _bytes(self, table: str) -> int:
+        """About how much a dimension table takes in memory, from its rows."""
+        if table not in self._sizes:
+            df = self.table(table)
+            variable = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+            row = reduce(lambda a, b: a + b, variable, F.lit(32 + 8 * len(df.columns)).cast("long"))
+            self._sizes[table] = df.agg(F.sum(row)).first()[0] or 0
+        return self._sizes[table]
+
+    def _key_range(self, d: Dimension, rel: Relationship, filters: list[Filter]) -> Column:
+        """The fact's keys lie between the first and the last day that the filters allow: a predicate that the scan can use.
+
+        Calendars are bounded, so asking for the two days costs next to nothing.
+        """
+        days = self.table(rel.table)
+        for f in filters:
+            days = days.where(self._holds(d, f, rel.table, None))
+        key = F.col(f"`{rel.column}`")
+        lo, hi = days.agg(F.min(key), F.max(key)).first()
+        return F.col(f"f.`{rel.fact_column}`").between(F.lit(lo), F.lit(hi)) if lo is not None else F.lit(False)
 
     def _needed(self, d: Dimension, rel: Relationship, filters: list[Filter], timed: list[Measure], fact: Fact) -> list[Column]:
         names = [rel.column, *[level.column for level in d.chain], d.column]
