@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import time
 from pathlib import Path
 
 
@@ -45,6 +44,8 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("mdx")
         else:
             p.add_argument("trace")
+            p.add_argument("--iterations", type=int, default=0)
+            p.add_argument("--workers", type=int, default=1)
     for verb in ("convert", "inventory", "qualify"):
         p = sub.add_parser(verb)
         p.add_argument("source")
@@ -77,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.verb == "query":
         cube.query(args.mdx).show(1000, False)
         return 0
-    from orthoplex.server.xmla import json_trace, make_server, respond
+    from orthoplex.server.xmla import json_trace, make_server
 
     if args.verb == "serve":
         if args.rollups:
@@ -86,16 +87,13 @@ def main(argv: list[str] | None = None) -> int:
             build(cube, args.rollups)
         make_server(cube, (args.host, args.port), trace=json_trace(args.trace) if args.trace else None).serve_forever()
         return 0
-    differ, times = 0, []
-    for line in Path(args.trace).read_text(encoding="utf-8").splitlines():
-        entry = json.loads(line)
-        began = time.perf_counter()
-        differ += respond(cube, entry["request"]) != entry["response"]
-        times.append(1000 * (time.perf_counter() - began))
-    times.sort()
-    at = {f"p{p}_ms": round(times[min(len(times) - 1, len(times) * p // 100)], 1) for p in (50, 90, 95, 99)} if times else {}
-    print(json.dumps({"requests": len(times), "different": differ, **at}))
-    return int(differ > 0)
+    from orthoplex.server import replay
+
+    entries = replay.read_trace(args.trace)
+    differ = replay.differences(cube, entries)
+    speed = replay.load(cube, [e["request"] for e in entries], iterations=args.iterations, workers=args.workers) if entries and args.iterations else {}
+    print(json.dumps({"entries": len(entries), "different": len(differ), **{k: round(v, 3) for k, v in speed.items()}}))
+    return int(bool(differ))
 
 
 if __name__ == "__main__":

@@ -79,3 +79,22 @@ def test_http(spark, tmp_path):
     finally:
         server.shutdown()
     assert len((tmp_path / "trace.jsonl").read_text().splitlines()) == 2
+
+
+def test_replay(spark, tmp_path):
+    from orthoplex.server import replay
+    from orthoplex.server.xmla import respond
+
+    cube = demo_cube(spark)
+    body = "<Envelope><Body><Execute><Command><Statement>{}</Statement></Command></Execute></Body></Envelope>"
+    texts = ["SELECT FROM [Sales] WHERE ([Measures].[Revenue])", "SELECT {[Measures].[Units]} ON 0, TopCount([Channel].[Channel].Members, 2, [Measures].[Units]) ON 1 FROM [Sales]"]
+    write = json_trace(str(tmp_path / "t.jsonl"))
+    for t in texts:
+        write({"request": body.format(t), "response": respond(cube, body.format(t))})
+    entries = replay.read_trace(str(tmp_path / "t.jsonl"))
+    assert replay.differences(cube, entries) == [] and set(replay.statements(entries)) == set(texts)
+    changed = [{**entries[0], "response": entries[0]["response"].replace("521586767", "521586768000")}]
+    assert replay.differences(cube, changed)[0]["values"]
+    assert replay.shapes(texts[1]) == {"two axes", "topcount", "members"} and "compound key" in replay.shapes("SELECT {DrilldownLevel({[D].[H].[Q].&[1]&[2]})} ON 0 FROM [S]")
+    found = replay.load(cube, [e["request"] for e in entries], iterations=4, workers=2, warm_up=0)
+    assert found["requests"] == 4 and found["error_rate"] == 0 and found["p50_ms"] <= found["max_ms"]
