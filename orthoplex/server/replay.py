@@ -62,7 +62,7 @@ def _facts(xml: str) -> tuple[list[str], list[str]]:
     """Captions and values of a cellset or rowset, in order."""
     root = ET.fromstring(xml)
     local = [(e.tag.rsplit("}", 1)[-1], (e.text or "").strip()) for e in root.iter()]
-    return [t for n, t in local if n in ("Caption", "MEMBER_CAPTION")], [t for n, t in local if n == "Value"]
+    return [t for n, t in local if n in ("Caption", "MEMBER_CAPTION")], [t for n, t in local if n == "Value" and t]
 
 
 def differences(cube: Cube, entries: Iterable[dict[str, Any]], user: User | None = None, tolerance: float = 1e-6) -> list[dict[str, Any]]:
