@@ -4,8 +4,8 @@ Every document of a source has the same fractional number of copies, target over
 size of the source.  The whole part is taken outright; the fractional parts are
 rounded together: a pair of documents trades words, in a random direction that
 keeps both expectations, until one of them holds a whole copy or none.  Words, not
-documents, are what a trade keeps constant, so a source misses its target by less
-than one document.  Documents meet in groups of about ``FAN`` by hash; the one
+documents, are what a trade keeps constant, and large documents are decided before
+small ones, so a source misses its target by less than one small document.  Documents meet in groups of about ``FAN`` by hash; the one
 fractional document that a group may leave moves to a group of at most ``FAN`` of
 the next level, a reduction tree of logarithmic depth in which no task ever
 holds more than a few groups.
@@ -20,7 +20,9 @@ an empty table gives an empty result; targets of sources without words are 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoplex.llm import storage
@@ -80,8 +82,8 @@ def _trade(state: Column, x: Column, seed: int) -> Column:
     return F.when(a.isNull(), started).otherwise(traded)
 
 
-def round_together(units: DataFrame, seed: int = 5) -> DataFrame:
-    """``units`` (source, unit: struct with h and size, p strictly between 0 and 1) with ``take``, 0 or 1, in place of p."""
+def _tree(units: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Decided units (source, unit, take), and of each source the one that is left (source, unit, p), if any."""
     counts = units.groupBy("source").agg(F.count("*").alias("n"))
     n_sources = counts.count()
     widths = counts.select("source", F.ceil(F.col("n") / FAN).alias("groups"))
@@ -95,16 +97,46 @@ def round_together(units: DataFrame, seed: int = 5) -> DataFrame:
         folded = grouped.select("source", "bucket", F.aggregate("xs", empty, lambda s, x: _trade(s, F.struct(x["unit"].alias("unit"), x["p"].alias("p")), seed + depth)).alias("s"))
         kept = storage.stored(folded.select("source", "bucket", "s.pending", "s.done"), "rounding")
         parts.append(kept.select("source", F.explode("done").alias("x")).select("source", "x.unit", "x.take"))
+        left = kept.where("pending is not null")
         if most <= 1:
-            last = kept.where("pending is not null")
-            parts.append(last.select("source", "pending.unit", (_uniform(F.col("pending.unit.h"), F.lit(seed + 1000)) < F.col("pending.p")).cast("int").alias("take")))
-            break
-        level = kept.where("pending is not null").select("source", F.floor(F.col("bucket") / FAN).alias("bucket"), "pending.unit", "pending.p")
+            return reduce(DataFrame.unionByName, parts), left.select("source", "pending.unit", "pending.p")
+        level = left.select("source", F.floor(F.col("bucket") / FAN).alias("bucket"), "pending.unit", "pending.p")
         most, depth = -(-most // FAN), depth + 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+
+def _by_lot(left: DataFrame, seed: int) -> DataFrame:
+    """The last of each source, decided by its probability: (source, unit, p, take)."""
+    return left.withColumn("take", (_uniform(F.col("unit.h"), F.lit(seed + 1000)) < F.col("p")).cast("int"))
+
+
+def round_together(units: DataFrame, seed: int = 5) -> DataFrame:
+    """``units`` (source, unit: struct with h and size, p strictly between 0 and 1, equal within a source) with ``take``, 0 or 1, in place of p.
+
+    Large documents come first.  The one that is left of them is decided by lot, and the
+    words this adds or lacks are spread evenly over the probabilities of the small
+    documents (the smallest size classes whose words suffice for that), which are rounded
+    then: a source misses its target by less than one small document, and every
+    expectation is kept.
+    """
+    sized = units.withColumn("cls", F.floor(F.log2("unit.size")).cast("int"))
+    classes = sized.groupBy("source", "cls").agg(F.sum("unit.size").alias("words"), F.max("unit.size").alias("largest"), F.first("p").alias("p"))
+    own = Window.partitionBy("source")  # a source has at most 64 size classes
+    upto = classes.withColumn("pool", F.sum("words").over(own.orderBy("cls"))).withColumn("most", F.max("largest").over(own))
+    enough = upto.withColumn("ok", F.col("pool") * F.least(F.col("p"), 1 - F.col("p")) >= F.col("most"))
+    limits = storage.stored(enough.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("ok"), F.col("cls"))), F.lit(64)).alias("limit"), F.coalesce(F.min(F.when(F.col("ok"), F.col("pool"))), F.max("pool")).alias("pool")), "size-classes")
+    n_sources = limits.count()
+    marked = _with_source(sized, limits.select("source", "limit"), n_sources)
+    decided, left = _tree(marked.where(F.col("cls") > F.col("limit")).select("source", "unit", "p"), seed)
+    last = storage.stored(_by_lot(left, seed), "rounding-last")
+    surplus = last.select(F.col("source").alias("__of"), ((F.col("take") - F.col("p")) * F.col("unit.size")).alias("surplus"))
+    shifts = limits.join(surplus, F.col("source").eqNullSafe(F.col("__of")), "left").select("source", (F.coalesce("surplus", F.lit(0.0)) / F.col("pool")).alias("shift"))
+    shifts = storage.stored(shifts, "rounding-shifts")
+    small = _with_source(marked.where(F.col("cls") <= F.col("limit")).select("source", "unit", "p"), shifts, n_sources).select("source", "unit", (F.col("p") - F.col("shift")).alias("p"))
+    open_ = F.col("p").between(1e-9, 1 - 1e-9)
+    whole = small.where(~open_).select("source", "unit", (F.col("p") > 0.5).cast("int").alias("take"))
+    more, end = _tree(small.where(open_), seed + 500)
+    lots = [last.drop("p"), _by_lot(end, seed + 500).drop("p")]
+    return reduce(DataFrame.unionByName, [decided, *lots, whole, more])
 
 
 def _with_source(df: DataFrame, by_source: DataFrame, n_sources: int) -> DataFrame:
