@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orthoplex.llm import arrowtext as at
 
@@ -184,19 +185,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     kind = items.schema["i"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     arrow_kind = to_arrow_type(kind)
-    out = drop = at.drop_clashing(docs, OUTPUT)
-    plain = drop.columns
-    text_at = [c.lower() for c in plain].index(text.lower())
-    schema = T.StructType([
-        *drop.schema.fields,
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("hit_items", T.ArrayType(kind)),
-        T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
-    ])
+    out = at.drop_clashing(docs, OUTPUT)
+    text_at = [c.lower() for c in out.columns].index(text.lower())
+    span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", T.ArrayType(kind)), T.StructField("hit_spans", T.ArrayType(span))]
+    schema = T.StructType([*out.schema.fields, *added])
     for k in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast(([(r[0], r[1]) for r in some.collect()], n))

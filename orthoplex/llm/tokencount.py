@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -208,10 +209,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", keep: list[s
 
 def _count_udf(path: str) -> Callable:
     @F.pandas_udf("long")
-    def count(tokens):
-        import pandas as pd
-
+    def count(tokens: pd.Series) -> pd.Series:
         return pd.Series(Library.at(path).counts(tokens.tolist()))
 
-    count.func.__annotations__ = {}
     return count

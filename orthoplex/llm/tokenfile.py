@@ -18,6 +18,7 @@ longer than a block is a block of its own; columns besides id and text are ignor
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orthoplex.llm import storage
 
@@ -55,8 +57,6 @@ class Encoder:
     _open: dict[str, Encoder] = {}
 
     def __init__(self, path: str) -> None:
-        import json
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -293,8 +293,6 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], key: str, shared, kind: str
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT) -> None:
     """Encodes every whole text, appends ``end_id``, and writes the file set at ``path`` (any store that Spark writes)."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = plain.schema["doc_id"].dataType
