@@ -1,4 +1,5 @@
-"""Who a request comes from: a trusted header, or a signed token (HS256, RS256) whose claims name the user.
+"""Who a request comes from: a trusted header, or a signed token (HS256, RS256, ES256) whose claims name
+the user.
 
 Keys are handed in; nothing is fetched.  Whatever is wrong with a token means no user,
 and no user means no access where a model has an ``auth`` section.
@@ -20,6 +21,42 @@ from orthoplex.plans.model import User
 _SHA256_PREFIX = bytes.fromhex("3031300d060960864801650304020105000420")
 
 
+# The curve P-256 of FIPS 186 (prime, coefficient b, base point, order; coefficient a is -3).
+_P = 0xFFFFFFFF00000001000000000000000000000000FFFFFFFFFFFFFFFFFFFFFFFF
+_B = 0x5AC635D8AA3A93E7B3EBBD55769886BC651D06B0CC53B0F63BCE3C3E27D2604B
+_G = (0x6B17D1F2E12C4247F8BCE6E563A440F277037D812DEB33A0F4A13945D898C296, 0x4FE342E2FE1A7F9B8EE7EB4A7C0F9E162BCE33576B315ECECBB6406837BF51F5)
+_N = 0xFFFFFFFF00000000FFFFFFFFFFFFFFFFBCE6FAADA7179E84F3B9CAC2FC632551
+
+Point = tuple[int, int] | None
+
+
+def _add(a: Point, b: Point) -> Point:
+    """Sum on the curve; None is the point at infinity."""
+    if a is None or b is None:
+        return a or b
+    if a[0] == b[0]:
+        if (a[1] + b[1]) % _P == 0:
+            return None
+        slope = (3 * a[0] * a[0] - 3) * pow(2 * a[1], -1, _P)
+    else:
+        slope = (b[1] - a[1]) * pow(b[0] - a[0], -1, _P)
+    x = (slope * slope - a[0] - b[0]) % _P
+    return x, (slope * (a[0] - x) - a[1]) % _P
+
+
+def _times(k: int, a: Point) -> Point:
+    out: Point = None
+    while k:
+        if k & 1:
+            out = _add(out, a)
+        a, k = _add(a, a), k >> 1
+    return out
+
+
+def _on_curve(x: int, y: int) -> bool:
+    return 0 <= x < _P and 0 <= y < _P and (y * y - x * x * x + 3 * x - _B) % _P == 0
+
+
 def _decode(part: str) -> bytes:
     return base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))
 
@@ -42,6 +79,14 @@ def _signed(head: Mapping[str, Any], message: bytes, signature: bytes, keys: lis
             tail = _SHA256_PREFIX + hashlib.sha256(message).digest()
             if len(signature) == size and hmac.compare_digest(plain, b"\0\1" + b"\xff" * (size - len(tail) - 3) + b"\0" + tail):
                 return True
+        elif head.get("alg") == "ES256" and key.get("kty") == "EC" and key.get("crv") == "P-256" and len(signature) == 64:
+            public = _number(key["x"]), _number(key["y"])
+            r, s = int.from_bytes(signature[:32], "big"), int.from_bytes(signature[32:], "big")
+            if _on_curve(*public) and 0 < r < _N and 0 < s < _N:
+                digest, inverse = int.from_bytes(hashlib.sha256(message).digest(), "big"), pow(s, -1, _N)
+                point = _add(_times(digest * inverse % _N, _G), _times(r * inverse % _N, public))
+                if point is not None and point[0] % _N == r:
+                    return True
     return False
 
 

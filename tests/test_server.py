@@ -57,6 +57,20 @@ def test_rsa_token():
     assert user_of_token(f"{body}.{b64(signature[::-1])}", OIDC, keys, now=100) is None
 
 
+def test_elliptic_token():
+    from orthoplex.server.identity import _G, _N, _times
+
+    secret, k = 0x1234567890ABCDEF1234567890ABCDEF, 0xFEDCBA0987654321FEDCBA0987654321
+    public, body = _times(secret, _G), f"{b64({'alg': 'ES256'})}.{b64(GOOD)}"
+    r = _times(k, _G)[0] % _N
+    s = pow(k, -1, _N) * (int.from_bytes(hashlib.sha256(body.encode()).digest(), "big") + r * secret) % _N
+    signature = r.to_bytes(32, "big") + s.to_bytes(32, "big")
+    keys = [{"kty": "EC", "crv": "P-256", "x": b64(public[0].to_bytes(32, "big")), "y": b64(public[1].to_bytes(32, "big"))}]
+    assert user_of_token(f"{body}.{b64(signature)}", OIDC, keys, now=100) == User("ada", ("staff",))
+    assert user_of_token(f"{body}.{b64(signature[::-1])}", OIDC, keys, now=100) is None
+    assert _times(_N, _G) is None
+
+
 def test_headers():
     assert user_of({"X-User": "ada"}, None) is None and user_of({"X-User": "ada"}, {}) is None
     assert user_of({"X-User": "ada", "X-Groups": "a,b"}, {"trusted_proxy": True}) == User("ada", ("a", "b"))
