@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from orthoplex.llm import storage
 
 BLOCK_IDS, EVERY, LIMIT = 1 << 16, 1024, 16
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 750_000
 
 _BEYOND = re.compile("[^\0-\xff]").search
 
