@@ -5,10 +5,10 @@ size of the source.  The whole part is taken outright; the fractional parts are
 rounded together: a pair of documents trades words, in a random direction that
 keeps both expectations, until one of them holds a whole copy or none.  Words, not
 documents, are what a trade keeps constant, and large documents are decided before
-small ones, so a source misses its target by less than one small document.  Documents meet in groups of about ``FAN`` by hash; the one
-fractional document that a group may leave moves to a group of at most ``FAN`` of
-the next level, a reduction tree of logarithmic depth in which no task ever
-holds more than a few groups.
+small ones, so a source misses its target by less than one small document.
+Documents meet in groups of about ``FAN`` by hash; the one fractional document that
+a group may leave moves to a group of at most ``FAN`` of the next level, a reduction
+tree of logarithmic depth in which no task ever holds more than a few groups.
 
 Random numbers are hashes of the ids, so reruns agree whatever the partitioning.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from orthoplex.llm import storage
 from orthoplex.llm.ranges import running
 
-FAN = 24
+FAN = 64
 MAX_BROADCAST_SOURCES = 100_000
 OUTPUT = ["size", "source_size", "target", "taken"]
 
@@ -90,18 +90,18 @@ def _tree(units: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     most = widths.agg(F.max("groups")).first()[0] or 0
     level = _with_source(units, widths, n_sources).withColumn("bucket", F.pmod(F.xxhash64("unit.h", F.lit(seed)), "groups")).select("source", "bucket", "unit", "p")
     unit_type = units.schema["unit"].dataType.simpleString()
-    parts, depth = [], 0
+    parts = []
     while True:
         empty = F.struct(F.lit(None).cast(f"struct<unit:{unit_type},p:double>").alias("pending"), F.array().cast(f"array<struct<unit:{unit_type},take:int>>").alias("done"))
         grouped = level.groupBy("source", "bucket").agg(F.array_sort(F.collect_list(F.struct(F.col("unit.h").alias("o"), "unit", "p"))).alias("xs"))
-        folded = grouped.select("source", "bucket", F.aggregate("xs", empty, lambda s, x: _trade(s, F.struct(x["unit"].alias("unit"), x["p"].alias("p")), seed + depth)).alias("s"))
+        folded = grouped.select("source", "bucket", F.aggregate("xs", empty, lambda s, x: _trade(s, F.struct(x["unit"].alias("unit"), x["p"].alias("p")), seed)).alias("s"))
         kept = storage.stored(folded.select("source", "bucket", "s.pending", "s.done"), "rounding")
         parts.append(kept.select("source", F.explode("done").alias("x")).select("source", "x.unit", "x.take"))
         left = kept.where("pending is not null")
         if most <= 1:
             return reduce(DataFrame.unionByName, parts), left.select("source", "pending.unit", "pending.p")
         level = left.select("source", F.floor(F.col("bucket") / FAN).alias("bucket"), "pending.unit", "pending.p")
-        most, depth = -(-most // FAN), depth + 1
+        most = -(-most // FAN)
 
 
 def _by_lot(left: DataFrame, seed: int) -> DataFrame:
@@ -134,8 +134,8 @@ def round_together(units: DataFrame, seed: int = 5) -> DataFrame:
     small = _with_source(marked.where(F.col("cls") <= F.col("limit")).select("source", "unit", "p"), shifts, n_sources).select("source", "unit", (F.col("p") - F.col("shift")).alias("p"))
     open_ = F.col("p").between(1e-9, 1 - 1e-9)
     whole = small.where(~open_).select("source", "unit", (F.col("p") > 0.5).cast("int").alias("take"))
-    more, end = _tree(small.where(open_), seed + 500)
-    lots = [last.drop("p"), _by_lot(end, seed + 500).drop("p")]
+    more, end = _tree(small.where(open_), seed)
+    lots = [last.drop("p"), _by_lot(end, seed).drop("p")]
     return reduce(DataFrame.unionByName, [decided, *lots, whole, more])
 
 
