@@ -111,16 +111,18 @@ def _split(points: np.ndarray, reach: int, rng: np.random.Generator, tries: int
     best, chosen = np.inf, None
     n = len(points)
     for vantage in points[rng.integers(0, n, tries)]:
-        inner = np.cumsum(np.bincount(_distance(points[:4096], vantage), minlength=66))
-        m = inner[-1]
-        for r in range(65):
-            near = inner[r] - (inner[r - reach] if r >= reach else 0)
-            a, b = inner[r], m - inner[r] + near
-            if 0 < inner[r] < m and max(a, b) < 0.93 * m:
-                p, q = a / m, b / m
-                cost = (p + q - 1 + 0.02) / -(min(p, 1 - p + 1e-9) * np.log(min(p, 1 - p + 1e-9) + 1e-9) + (1 - min(p, 1 - p)) * np.log(1 - min(p, 1 - p) + 1e-9))
-                if cost < best:
-                    best, chosen = cost, (np.uint64(vantage), r)
+        inner = np.cumsum(np.bincount(_distance(points[:4096], vantage), minlength=66)).astype(np.float64)
+        inside = inner[:65] / inner[-1]  # share within each radius
+        both = inside - np.concatenate([np.zeros(reach), inside[:-reach]])  # share that goes to both sides
+        useful = (inside > 0) & (inside < 1) & (np.maximum(inside, 1 - inside + both) < 0.93)
+        if not useful.any():
+            continue
+        radii = np.flatnonzero(useful)
+        p = inside[radii]
+        cost = (both[radii] + 0.02) / -(p * np.log(p) + (1 - p) * np.log(1 - p))  # copies for what the split tells apart
+        k = int(np.argmin(cost))
+        if cost[k] < best:
+            best, chosen = cost[k], (np.uint64(vantage), int(radii[k]))
     return chosen
 
 
