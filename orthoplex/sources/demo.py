@@ -13,7 +13,7 @@ from math import fmod
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The sequence of the demo data and the names it draws from, as the reference totals assume them.
+# The sequence of the demo data and the names it draws from; the known totals depend on them.
 MULTIPLIER, INCREMENT = 6364136223846793005, 1442695040888963407
 CATEGORIES = [
     "Electronics", "Clothing", "Food", "Furniture", "Sports", "Books", "Toys", "Automotive", "Health", "Music",
