@@ -163,25 +163,26 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_chars: int = TRAIN_CHARS) -> dict[str, str]:
     """Labelled text per language, the most common language first, from rows that are not held out."""
-    least, most = TRAIN_DOC
-    given = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("i is not null and lang is not null and text is not null").where(~held_out(F.col("i")))
+    given = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("i is not null and lang is not null").where(~held_out(F.col("i")))
+    counts = {r[0]: r[1] for r in given.groupBy("lang").count().collect()}  # reads no text
     out: dict[str, str] = {}
-    common: list[str] = []
-    for lo, hi in ((least, most), (1, most)):
-        some = given.where(F.length("text").between(lo, hi) & ~F.col("lang").isin(list(out) or [""])).withColumn("o", F.xxhash64("i"))
-        counts = {r[0]: r[1] for r in some.groupBy("lang").count().collect()}
-        common += sorted(counts, key=lambda x: (-counts[x], x))
-        # a language's documents with the least hashes: about 2 * DOCS of them at most, none longer than TRAIN_DOC
-        cut = {x: min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 2.0 * DOCS / n))) for x, n in counts.items()}
+    for (least, most), times in ((TRAIN_DOC, 8), ((1, TRAIN_DOC[1]), 1 << 40)):
+        # the documents with the least hashes, about ``times`` DOCS of each language, then the fitting ones among them;
+        # the second round is for languages without any of those, whose documents are few or none of them fits
+        cut = {x: min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, times * DOCS / n))) for x, n in counts.items() if x not in out}
         if not cut:
-            continue
+            break
         below = F.create_map(*[y for x, c in cut.items() for y in (F.lit(x), F.lit(c))])
-        parts: dict[str, list[str]] = {}
-        for name, found in some.where(F.col("o") <= below[F.col("lang")]).orderBy("o", "text").select("lang", "text").collect():
-            if sum(map(len, parts.setdefault(name, []))) < train_chars:
-                parts[name].append(found)
-        out |= {x: "\n".join(p) for x, p in parts.items() if p}
-    return {x: out[x] for x in common if x in out}
+        rows = given.where(F.xxhash64("i") <= below[F.col("lang")]).where(F.length("text").between(least, most))
+        ranked = rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("i").alias("o"), "text"))).alias("x")) if times < 100 else rows.groupBy("lang").agg(F.array(F.min(F.struct(F.xxhash64("i").alias("o"), "text"))).alias("x"))
+        for name, found in ranked.collect():
+            parts: list[str] = []
+            for _, some in found:
+                if sum(map(len, parts)) >= train_chars:
+                    break
+                parts.append(some)
+            out[name] = "\n".join(parts)
+    return {x: out[x] for x in sorted(out, key=lambda x: (-counts[x], x))}
 
 
 _PARSERS: dict[str, Parser] = {}
