@@ -8,10 +8,11 @@ that covers it; never when a row filter applies to the user, nor with time flags
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass
 from functools import reduce
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +107,13 @@ def _build(cube: Cube, x: Design) -> DataFrame:
     return joined.groupBy(*keys).agg(*sums)
 
 
+def _coarser(cube: Cube, x: Design, finer: DataFrame) -> DataFrame:
+    """A rollup from a finer one of the same fact and dimension: what is additive adds up."""
+    d = cube.model.dimension(x.dimension)
+    keys = [_level(d.id, level.name) for level in d.levels[: x.level + 1]] + [_leaf(k) for k in x.leaves]
+    return finer.groupBy(*keys).agg(*[F.sum(f"`{m}`").alias(m) for m in x.measures])
+
+
 def fingerprint(cube: Cube, x: Design) -> str:
     """Changes with the design, the measures' expressions and the fact's schema."""
     return json.dumps([VERSION, x.name, x.level, x.leaves, [(m, cube.model.measure(m).sql) for m in x.measures], cube.schema(cube.model.fact(x.fact).table).simpleString()])
@@ -117,36 +125,42 @@ def build(cube: Cube, path: str, *, stamp: str = "", refresh: bool = False, vali
     ``stamp`` stands for the state of the data (a version or load time); it is kept beside each rollup.
     """
     found = []
-    for x in design(cube.model):
+    finer: dict[tuple[str, str], DataFrame] = {}
+    for x in reversed(design(cube.model)):  # the fact is read once for each dimension, at its finest level
         where = f"{path.rstrip('/')}/{x.name}"
         want = stamp + fingerprint(cube, x)
-        if refresh or _stamped(cube, where) != want:
-            _build(cube, x).write.mode("overwrite").parquet(where)
-            cube.spark.createDataFrame([(want,)], "stamp string").coalesce(1).write.mode("overwrite").json(where + "_stamp")
-        found.append(Rollup(x, cube.spark.read.parquet(where)))
+        fs, mark = _mark(cube, where, want)
+        if refresh or not fs.exists(mark):
+            below = finer.get((x.fact, x.dimension))
+            (_build(cube, x) if below is None else _coarser(cube, x, below)).write.mode("overwrite").parquet(where)
+            fs.delete(mark.getParent(), True)
+            fs.create(mark, True).close()
+        found.insert(0, Rollup(x, cube.spark.read.parquet(where)))
+        finer[x.fact, x.dimension] = found[0].data
     if validate_totals:
         validate(cube, found)
     cube.rollups = found
     return found
 
 
-def _stamped(cube: Cube, where: str) -> str | None:
-    spark = cube.spark
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where + "_stamp/_SUCCESS")
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return None
-    row = spark.read.json(where + "_stamp").first()
-    return row[0] if row else None
+def _mark(cube: Cube, where: str, stamp: str) -> tuple[Any, Any]:
+    """The file system of a rollup, and the empty file beside it whose name stands for its stamp."""
+    jvm = cube.spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{where}_stamp/{hashlib.sha256(stamp.encode()).hexdigest()}")
+    return mark.getFileSystem(cube.spark.sparkContext._jsc.hadoopConfiguration()), mark
 
 
 def validate(cube: Cube, found: list[Rollup], tolerance: float = 1e-6) -> None:
     """Every rollup must add up to the rows of its fact that join its dimension."""
+    wanted: dict[tuple[str, str], Any] = {}
     for r in found:
         model = cube.model
         fact, d = model.fact(r.design.fact), model.dimension(r.design.dimension)
-        joined = cube._star(fact, CubeQuery("group", groups=(Group(d.id, r.design.level, True),)), [], Grant("administrator"), [])
         texts = {m: single_aggregate(to_spark(model.measure(m).sql)) for m in r.design.measures}
-        want = joined.agg(*[F.expr(t.text()).cast("double").alias(m) for m, t in texts.items()]).first()
+        if (fact.id, d.id) not in wanted:
+            joined = cube._star(fact, CubeQuery("group", groups=(Group(d.id, r.design.level, True),)), [], Grant("administrator"), [])
+            wanted[fact.id, d.id] = joined.agg(*[F.expr(t.text()).cast("double").alias(m) for m, t in texts.items()]).first()
+        want = wanted[fact.id, d.id]
         have = r.data.agg(*[F.expr(t.merge(f"`{m}`")).cast("double").alias(m) for m, t in texts.items()]).first()
         for m in texts:
             a, b = want[m] or 0.0, have[m] or 0.0
