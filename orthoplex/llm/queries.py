@@ -11,6 +11,7 @@ from orthoplex.llm import decontaminate, htmltext, langid, linedup, mixing, qual
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    storage.reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediates of this application; DataFrames that read them are void afterwards."""
     remove(spark, session_dir(spark))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package wherever they were started; a cluster ships it as usual."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [*known, root]))
