@@ -21,7 +21,7 @@ without any id has a null component_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -258,10 +258,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = now
 
 
-def component_of(marks: DataFrame, *, distance: int = 2, shard_rows: int = 4096) -> DataFrame:
-    """(fp, root, component_id) for each distinct fp of ``marks`` (doc_id, fp)."""
+def component_of(marks: DataFrame, *, distance: int = 2, shard_rows: int = 4096, edges: DataFrame | None = None) -> DataFrame:
+    """(fp, root, component_id) for each distinct fp of ``marks`` (doc_id, fp), by ``edges`` if given."""
     nodes = storage.stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(links(nodes, distance=distance, shard_rows=shard_rows)).withColumnRenamed("node", "fp")
+    edges = links(nodes, distance=distance, shard_rows=shard_rows) if edges is None else edges
+    roots = components(edges).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     shared = rooted.where("linked").groupBy("root").agg(F.min("least").alias("component_id"))
     alone = rooted.where("not linked").select("fp", "root", F.col("least").alias("component_id"))
@@ -281,6 +282,11 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     Where ids are null or repeated, rows are told apart by fingerprint and content instead.
     """
     found = near_duplicates(docs, text=text, doc_id=doc_id, distance=distance)
+    return one_of_each(docs, found, with_fingerprint, text=text, doc_id=doc_id)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, mark: Callable[[DataFrame], DataFrame], *, text: str, doc_id: str) -> DataFrame:
+    """The documents that ``deduplicate`` keeps, by the components ``found``; ``mark`` adds their fp."""
     path = storage.write(found, "near-duplicates")
     found = docs.sparkSession.read.schema(found.schema).parquet(path)
     odd = found.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
@@ -288,7 +294,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         winners = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id))
         return docs.join(winners, doc_id, "left_semi").select(*docs.columns)
     roots = found.select("fp", "root").distinct()
-    marked = with_fingerprint(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
+    marked = mark(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
     order = F.struct(F.col(f"row.{doc_id}").isNull(), F.col(f"row.{doc_id}"), F.xxhash64("text"))
     return marked.join(roots, "fp").groupBy("root").agg(F.min_by("row", order).alias("row")).select("row.*")
 
