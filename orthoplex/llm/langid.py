@@ -9,8 +9,10 @@ than ``PIECE`` letters is parsed in pieces of that length, every piece is a lane
 and one array operation advances all lanes by a character.
 
 Bounds: per language whole documents of ``TRAIN_DOC`` characters (least, most), in
-the order of a hash of their ids, until they have ``train_chars`` characters; only
-those are broadcast, and each worker builds its automata once.
+the order of a hash of their ids, until they have ``train_chars`` characters; a
+language that is still short of them goes on with its shorter documents, then with
+pieces of its longer ones.  Only those are broadcast, and each worker builds its
+automata once.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; null
 languages teach nothing; without any labelled text every text is ``und``; ties go
@@ -161,27 +163,57 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def _kind(size: Column) -> Column:
+    """0: fits TRAIN_DOC, 1: shorter, 2: longer; null for a null or empty text."""
+    return F.when(size.between(*TRAIN_DOC), 0).when(size.between(1, TRAIN_DOC[0] - 1), 1).when(size > TRAIN_DOC[1], 2)
+
+
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_chars: int = TRAIN_CHARS) -> dict[str, str]:
     """Labelled text per language, the most common language first, from rows that are not held out."""
     given = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("i is not null and lang is not null").where(~held_out(F.col("i")))
     counts = {r[0]: r[1] for r in given.groupBy("lang").count().collect()}  # reads no text
-    out: dict[str, str] = {}
-    for (least, most), times in ((TRAIN_DOC, 8), ((1, TRAIN_DOC[1]), 1 << 40)):
-        # the documents with the least hashes, about ``times`` DOCS of each language, then the fitting ones among them;
-        # the second round is for languages without any of those, whose documents are few or none of them fits
-        cut = {x: min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, times * DOCS / n))) for x, n in counts.items() if x not in out}
+    parts: dict[str, list[str]] = {}
+
+    def fill(kind: int, cut: dict[str, float], piece: dict[str, int]) -> None:
+        """Adds texts of a kind to each language of ``cut``, in the order of their hashes, from that share of the hashes."""
         if not cut:
-            break
-        below = F.create_map(*[y for x, c in cut.items() for y in (F.lit(x), F.lit(c))])
-        rows = given.where(F.xxhash64("i") <= below[F.col("lang")]).where(F.length("text").between(least, most))
-        ranked = rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("i").alias("o"), "text"))).alias("x")) if times < 100 else rows.groupBy("lang").agg(F.array(F.min(F.struct(F.xxhash64("i").alias("o"), "text"))).alias("x"))
-        for name, found in ranked.collect():
-            parts: list[str] = []
-            for _, some in found:
-                if sum(map(len, parts)) >= train_chars:
-                    break
-                parts.append(some)
-            out[name] = "\n".join(parts)
+            return
+        ends = {x: min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, c))) for x, c in cut.items()}
+        below = F.create_map(*[y for x, c in ends.items() for y in (F.lit(x), F.lit(c))])
+        size = F.create_map(*[y for x in cut for y in (F.lit(x), F.lit(piece.get(x, TRAIN_DOC[1])))])
+        rows = given.where(F.xxhash64("i") <= below[F.col("lang")]).where(_kind(F.length("text")) == kind)
+        some = F.struct(F.xxhash64("i").alias("o"), F.expr("left(text, size)").alias("text"))
+        for name, found in rows.withColumn("size", size[F.col("lang")]).groupBy("lang").agg(F.array_sort(F.collect_list(some)).alias("x")).collect():
+            mine, texts = parts.setdefault(name, []), [t for _, t in found]
+            for at_ in range(0, max(map(len, texts)), TRAIN_DOC[1]):  # a first piece of each text before any second one
+                for t in texts:
+                    if sum(map(len, mine)) >= train_chars:
+                        break
+                    mine += [t[at_ : at_ + TRAIN_DOC[1]]] if len(t) > at_ else []
+
+    def short() -> list[str]:
+        return [x for x in counts if sum(map(len, parts.get(x, ()))) < train_chars]
+
+    # the documents with the least hashes, about 8 DOCS of each language, hold enough fitting ones in most languages
+    fill(0, {x: 8 * DOCS / n for x, n in counts.items()}, {})
+    again = short()
+    if again:
+        for x in again:
+            parts.pop(x, None)
+        held = given.where(F.col("lang").isin(again)).groupBy("lang", _kind(F.length("text")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(TRAIN_DOC[1]))).alias("chars")).where("kind is not null").collect()
+        for kind in range(3):
+            have = {r.lang: r for r in held if r.kind == kind}
+            piece = {x: train_chars for x, r in have.items() if kind == 2 and r.chars < train_chars}
+            before, times = {x: list(parts.get(x, ())) for x in have}, 4
+            todo = [x for x in short() if x in have]
+            while todo:
+                cut = {x: (times * train_chars / (have[x].chars / have[x].n) + DOCS) / have[x].n for x in todo}
+                for x in todo:
+                    parts[x] = list(before[x])
+                fill(kind, cut, piece)
+                todo = [x for x in short() if x in cut and cut[x] < 1]
+                times *= 8
+    out = {x: "\n".join(p) for x, p in parts.items() if p}
     return {x: out[x] for x in sorted(out, key=lambda x: (-counts[x], x))}
 
 

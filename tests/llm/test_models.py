@@ -37,6 +37,20 @@ def test_odd_languages(spark):
     assert langid.identify(train.limit(0), train).count() == 0
 
 
+def test_every_language_is_filled(spark):
+    rows, k = [], 0
+    for lang, sizes in {"short": [150] * 700, "long": [9000] * 12, "one": [90_000] * 1, "rare": [300] + [100] * 900, "few": [50] * 20}.items():
+        for size in sizes:
+            k += 1
+            while zlib.crc32(str(k).encode()) % 4 == 2:
+                k += 1
+            rows.append((k, (f"{lang}{k} " * size)[:size], lang))
+    got = langid.learn(documents(spark, rows))
+    assert all(40_000 <= len(got[x].replace("\n", "")) < 46_000 for x in ("short", "long", "one", "rare")) and len(got["few"].replace("\n", "")) == 1000
+    fit = next(t for _, t, x in rows if x == "rare" and len(t) == 300)
+    assert got["rare"].startswith(fit) and langid.learn(documents(spark, rows)) == got
+
+
 def test_parse_equals_a_plain_one():
     parser = langid.Parser({"a": "the cat sat on the mat", "b": "der hund und die katze"})
     rnd = random.Random(5)
