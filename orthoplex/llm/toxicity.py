@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from orthoplex.llm import arrowtext as at
 
-MAX_LABELLED, MAX_FEATURES, VOTERS, PREFIXES = 1500, 4096, 128, (3, 4, 5, 6, 7, 8)
+MAX_LABELLED, MAX_FEATURES, VOTERS, PREFIXES = 3000, 4096, 128, (3, 4, 5, 6, 7, 8)
 _LETTER = at.table(set(range(0x61, 0x7B)) | set(range(0x80, 0x100)))
 _BITS = 22
 

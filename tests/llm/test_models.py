@@ -104,6 +104,10 @@ def test_scores_do_not_depend_on_ids_or_labels(spark):
     assert a == b
 
 
+def test_labels_are_used_up_to_the_stated_bound():
+    assert toxicity.MAX_LABELLED == toxicity.learn.__kwdefaults__["max_labelled"] == 3000
+
+
 def test_odd_toxicity(spark):
     rows, labels = toxic_rows(3, 90)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
