@@ -42,7 +42,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 # Element names of HTML.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "audio", "video", "canvas", "xmp", "select", "head"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "head"}
+UNSEEN = {"noscript", "template", "svg", "math", "object", "audio", "video", "canvas", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -102,7 +103,13 @@ def blocks_of(page: str) -> list[Block]:
     root = Element("#root", None, "")
     here, out = root, []
     pieces: list[str] = []
-    linked, links, block = 0, 0, root
+    linked, links, unseen, block = 0, 0, 0, root
+    last: dict[str, int] = {}  # where the last end tag of an unseen element begins
+
+    def never_closed(tag: str, start: int) -> bool:
+        if tag not in last:
+            last[tag] = max((e.start() for e in re.finditer(rf"</{re.escape(tag)}\s*>", page, re.I)), default=-1)
+        return last[tag] < start
 
     def flush() -> None:
         nonlocal linked
@@ -118,15 +125,17 @@ def blocks_of(page: str) -> list[Block]:
         linked = 0
 
     def close_to(target: Element) -> None:
-        nonlocal here, links
+        nonlocal here, links, unseen
         while here is not target.parent:
+            if here.tag in UNSEEN:
+                unseen -= 1
             if here.tag == "a":
                 links = max(0, links - 1)
             here = here.parent
 
     at_, n = 0, len(page)
     for m in iter(lambda: _TOKEN.search(page, at_), None):
-        if m.start() > at_:
+        if m.start() > at_ and not unseen:
             pieces.append(page[at_ : m.start()])
             if links:
                 linked += m.start() - at_
@@ -138,8 +147,10 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "br":
             pieces.append(" ")
             continue
+        if tag in UNSEEN and not closing and (m.group(3).endswith("/") or never_closed(tag, at_)):
+            continue  # without content, rather than the rest of the page as content
         if tag in RAW and not closing:
-            if m.group(3).endswith("/") and tag == "svg":
+            if m.group(3).endswith("/") and unseen:
                 continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at_)
             if tag == "head" and not end:
@@ -148,7 +159,8 @@ def blocks_of(page: str) -> list[Block]:
                     continue
             at_ = end.end() if end else n
             continue
-        if tag in BLOCK:
+        covered = unseen
+        if tag in BLOCK and not unseen:
             flush()
         if closing:
             up = here
@@ -156,17 +168,19 @@ def blocks_of(page: str) -> list[Block]:
                 up = up.parent
             if up is not root:
                 close_to(up)
+            if tag in BLOCK and covered and not unseen:
+                flush()
         elif tag not in VOID:
             if tag in CLOSES_P:
                 up = here
-                while up is not root and up.tag not in ("p", "td", "th", "button", "div", "section", "article", "li", "blockquote", "aside"):
+                while up is not root and up.tag not in UNSEEN and up.tag not in ("p", "td", "th", "button", "div", "section", "article", "li", "blockquote", "aside"):
                     up = up.parent
                 if up.tag == "p":
                     close_to(up)
             if tag in IMPLIED:
                 ends, stops = IMPLIED[tag]
                 up = here
-                while up is not root and up.tag not in stops:
+                while up is not root and up.tag not in stops and up.tag not in UNSEEN:
                     if up.tag in ends:
                         close_to(up)
                         up = here
@@ -175,13 +189,15 @@ def blocks_of(page: str) -> list[Block]:
             here = Element(tag, here, m.group(3))
             if tag == "a":
                 links += 1
+            if tag in UNSEEN:
+                unseen += 1
             if m.group(3).endswith("/") and tag not in BLOCK:
                 close_to(here)
-        if tag in BLOCK:
+        if tag in BLOCK and not unseen:
             block = here
             while block.tag not in BLOCK and block.parent is not None:
                 block = block.parent
-    if at_ < n:
+    if at_ < n and not unseen:
         pieces.append(page[at_:])
     flush()
     return out

@@ -60,3 +60,14 @@ def test_operator(spark):
 def test_training_moves_from_the_prior():
     w = h.train([SEMANTIC] * 3)
     assert w.shape == h.PRIOR.shape and not np.allclose(w, h.PRIOR) and np.array_equal(h.train([]), h.PRIOR)
+
+
+@pytest.mark.parametrize("start", ["<audio src=x/>", "<math display=block />", "<svg width=1>", "<select><option>", "<div><svg><path></div>", "<div><video></div><p>x</p><video></video>"])
+def test_an_element_without_its_end_does_not_hide_the_rest(start):
+    texts = [b.text for b in h.blocks_of(f"<body>{start}<article><p>The article stays.</p></article></body>")]
+    assert "The article stays." in texts
+
+
+def test_closed_unseen_elements_hide_their_content_only():
+    page = "<p>before <svg><title>t</title><text>in</text></svg>after</p><template><div>a</div><p>b</p></template><p>end</p>"
+    assert [b.text for b in h.blocks_of(page)] == ["before after", "end"]
