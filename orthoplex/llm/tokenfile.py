@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,137 +32,267 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from orthoplex.llm import arrowtext as at
 from orthoplex.llm import storage
 
 BLOCK_IDS, EVERY, LIMIT = 1 << 16, 1024, 16
-CACHE_WORDS = 750_000
 
-_BEYOND = re.compile("[^\0-\xff]").search
-
-# The split pattern of this kind of vocabulary, for lower-cased text whose characters are all below U+0100.
-_WORD = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+"
-)
+#: Bytes that the table of known words may take in each worker, and bytes of text handled at once.
+CACHE_BYTES, SLICE = 48 << 20, 2 << 20
+
+# The split pattern of this kind of vocabulary begins so; its classes for lower-cased characters below U+0100.
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|"
+_KIND = np.full(256, 3, np.uint8)  # neither of the following
+_KIND[[*range(9, 14), 32, 0x85, 0xA0]] = 0  # white space
+_KIND[[*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1  # letters
+_KIND[[*range(48, 58), 0xB2, 0xB3, 0xB9, *range(0xBC, 0xBF)]] = 2  # numbers, each a word of its own
+_LOWER = bytes(ord(chr(c).lower()) if c not in (0xD7,) and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256))
+_SHORT, _TWO = at.table(b"stmd"), {b"re", b"ve", b"ll"}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def split_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words of lower-cased Latin-1 bytes."""
+    kind = _KIND[data]
+    change = np.ones(len(data) + 1, bool)
+    change[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    begins = np.flatnonzero((kind != 0) & change[:-1])
+    ends = np.flatnonzero((kind != 0) & change[1:]) + 1
+    # an apostrophe alone before letters takes what a contraction takes of them
+    quotes = np.flatnonzero((data[begins] == 39) & (ends - begins == 1) & (ends < len(data)))
+    if len(quotes):
+        after = ends[quotes]
+        quotes, after = quotes[kind[after] == 1], after[kind[after] == 1]
+        take = _SHORT[data[after]].astype(np.int64)
+        for k in np.flatnonzero(take == 0).tolist():
+            take[k] = 2 * (data[after[k] : after[k] + 2].tobytes() in _TWO)
+        ends[quotes] += take
+        begins[quotes + 1] += take
+        full = begins < ends
+        begins, ends = begins[full], ends[full]
+    return begins, ends
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of runs, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Known:
+    """Words of at most 16 bytes, told apart by those bytes, with their ids; sorted by a hash of them."""
+
+    def __init__(self, kind: str) -> None:
+        self.hash, self.first, self.second = (np.empty(0, np.uint64) for _ in range(3))
+        self.start, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, kind)
+
+    def find(self, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1."""
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        place = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where((self.hash[place] == h) & (self.first[place] == a) & (self.second[place] == b), place, -1)
+
+    def add(self, h: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        start = len(self.ids) + np.cumsum(size) - size
+        order = np.argsort(np.concatenate([self.hash, h]), kind="stable")
+        pairs = ((self.hash, h), (self.first, a), (self.second, b), (self.start, start), (self.size, size.astype(np.int32)))
+        self.hash, self.first, self.second, self.start, self.size = (np.concatenate(p)[order] for p in pairs)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def bytes(self) -> int:
+        return 36 * len(self.hash) + self.ids.nbytes
+
+
+def vocabulary_kind(path: str, end_id: int) -> str:
+    """The type that holds all ids."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    last = max([end_id, *(t["id"] for t in said.get("added_tokens") or []), len((said.get("model") or {}).get("vocab") or ())])
+    return "<u2" if last < 1 << 16 else "<u4"
 
 
 class Encoder:
-    """Token ids of texts, looking up each distinct word once per worker where that is exact.
+    """Token ids of texts, looking up each distinct word where that is exact.
 
     It is where the tokenizer lower-cases and splits by the pattern above, and the
     text has neither characters beyond U+00FF nor added tokens; else the library
-    encodes the whole text.
+    encodes the whole text.  Words are found and looked up by array operations; the
+    library sees those that no earlier text of the worker had.
     """
 
-    _open: dict[str, Encoder] = {}
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    _open: dict[tuple[str, int], Encoder] = {}
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
+    def __init__(self, path: str, end_id: int = 0) -> None:
+        self.path, self.end_id, self.kind = path, end_id, vocabulary_kind(path, end_id)
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
         self.added = [t["content"] for t in said.get("added_tokens") or []]
         steps = [s.get("type") for s in (said.get("normalizer") or {}).get("normalizers", [])]
-        split = [s for s in (said.get("pre_tokenizer") or {}).get("pretokenizers", []) if s.get("type") == "Split"]
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["pattern"].get("Regex", "").startswith("'s|'t|'re|'ve|'m|'ll|'d|") and split[0].get("invert", False)
-        self.words: dict[str, bytes] = {}
-        vocabulary = self.model.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        suffix = (said.get("model") or {}).get("end_of_word_suffix")
-        if suffix:
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        before = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = [s for s in before if s.get("type") == "Split"]
+        model = said.get("model") or {}
+        suffix = model.get("end_of_word_suffix")
+        self.by_word = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["pattern"].get("Regex", "").startswith(_PATTERN) and split[0].get("invert", False)
+        self._texts = None
+        if self.by_word:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            # words are lower-cased and apart already
+            said["normalizer"] = None
+            said["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, *(s for s in before if s.get("type") != "Split")]
+            said["truncation"] = said["padding"] = None
+            self._words = Tokenizer.from_str(json.dumps(said))
+            self.ends = np.zeros(max(model["vocab"].values(), default=0) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+            self.known = Known(self.kind)
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def at(cls, path: str, end_id: int) -> Encoder:
+        if (path, end_id) not in cls._open:
+            cls._open.clear()
+            cls._open[path, end_id] = cls(path, end_id)
+        return cls._open[path, end_id]
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        if self._texts is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+            self._texts = Tokenizer.from_file(self.path)
+            self._texts.no_truncation()
+            self._texts.no_padding()
+        return [np.array(e.ids, self.kind) for e in self._texts.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        """Ids of single words: encoded as one text and cut after every id that ends a word."""
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single words and how many each has: encoded as one text and cut after every id that ends a word."""
         if not words:
-            return []
-        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+            return np.empty(0, self.kind), np.empty(0, np.int64)
+        ids = np.array(self._words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
-            return self._library(words)
-        packed, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-        cuts = (ends * width).tolist()
-        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        known = self.words.get
-        found: dict[int, list] = {}
-        holes: list[tuple[list, int, str]] = []
+            each = self._library(words)
+            return np.concatenate(each), np.array([len(x) for x in each])
+        return ids.astype(self.kind), np.diff(ends, prepend=0)
+
+    def _slice(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words of some bytes; where the words begin, and how many ids stand before each and in all."""
+        begins, ends = split_words(data)
+        size = ends - begins
+        padded = np.concatenate([data, np.zeros(24, np.uint8)])
+        eight = np.ndarray(len(data) + 16, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        a = eight[begins] & _MASK[np.minimum(size, 8)]
+        b = eight[np.minimum(begins + 8, len(data))] & _MASK[np.clip(size - 8, 0, 8)]
+        h = at.mix(a + at.mix(b ^ np.uint64(0x9E3779B97F4A7C15)))
+        long = np.flatnonzero(size > 16)
+        seen: dict[bytes, int] = {}
+        for k in long.tolist():  # told apart by a number each: no word has 16 bytes of ones
+            a[k], b[k] = np.uint64((1 << 64) - 1), seen.setdefault(data[begins[k] : ends[k]].tobytes(), len(seen))
+        h[long] = b[long]
+        order = np.argsort(h, kind="stable")
+        fresh = np.ones(len(order), bool)
+        hs, as_, bs = h[order], a[order], b[order]
+        fresh[1:] = (hs[1:] != hs[:-1]) | (as_[1:] != as_[:-1]) | (bs[1:] != bs[:-1])
+        one = order[fresh]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        place = self.known.find(h[one], a[one], b[one])
+        place[size[one] > 16] = -1
+        new = np.flatnonzero(place < 0)
+        at_new = one[new]
+        text = data.tobytes().decode("latin-1")
+        ids, many = self._each([text[i:j] for i, j in zip(begins[at_new].tolist(), ends[at_new].tolist(), strict=True)])
+        count = np.empty(len(one), np.int64)
+        start = np.empty(len(one), np.int64)
+        old = np.flatnonzero(place >= 0)
+        count[old], count[new] = self.known.size[place[old]], many
+        flat = np.concatenate([self.known.ids[_ranges(self.known.start[place[old]], count[old])], ids])
+        start[old] = np.cumsum(count[old]) - count[old]
+        start[new] = len(flat) - len(ids) + np.cumsum(many) - many
+        out = flat[_ranges(start[which], count[which])]
+        if self.known.bytes() + 36 * len(new) + ids.nbytes > CACHE_BYTES:
+            self.known = Known(self.kind)
+        short = size[at_new] <= 16
+        keep = at_new[short]
+        self.known.add(h[keep], a[keep], b[keep], many[short], ids[np.repeat(short, many)])
+        return out, begins, np.concatenate([[0], np.cumsum(count[which])])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        parts: list[bytes] = []
+        which: list[int] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
-            if not self.by_word or not (text.isascii() or not _BEYOND(text)) or any(a in text for a in self.added):
+            plain = None
+            if self.by_word and not any(x in text for x in self.added):
+                try:
+                    plain = text.encode("latin-1")
+                except UnicodeEncodeError:
+                    pass
+            if plain is None:
                 whole.append(i)
-                continue
-            words = _WORD.findall(text.lower())
-            found[i] = ids = list(map(known, words))
-            k = -1
-            for _ in range(ids.count(None)):
-                k = ids.index(None, k + 1)
-                holes.append((ids, k, words[k]))
-        fresh = list(dict.fromkeys(w for _, _, w in holes))
-        self.words.update(zip(fresh, self._each(fresh), strict=True))
-        for ids, k, word in holes:
-            ids[k] = self.words[word]
-        for i, ids in found.items():
-            out[i] = b"".join(ids)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+            else:
+                parts.append(plain)
+                which.append(i)
+        if parts:
+            data = np.frombuffer(b" ".join(parts).translate(_LOWER), np.uint8)
+            limits = np.cumsum([len(p) + 1 for p in parts])  # where the text after each begins
+            ids, bounds, done, lo = [], np.zeros(len(parts) + 1, np.int64), 0, 0
+            while lo < len(data):
+                hi = min(len(data), lo + SLICE)
+                while hi < len(data):  # up to white space, which no word crosses
+                    gaps = np.flatnonzero(_KIND[data[hi : hi + SLICE]] == 0)
+                    hi = min(len(data), hi + SLICE) if not len(gaps) else hi + int(gaps[0])
+                    if len(gaps):
+                        break
+                some, begins, before = self._slice(data[lo:hi])
+                inside = np.flatnonzero((limits > lo) & (limits <= hi)) if hi < len(data) else np.flatnonzero(limits > lo)
+                bounds[inside + 1] = done + before[np.searchsorted(begins, limits[inside] - lo)]
+                ids.append(some)
+                done, lo = done + len(some), hi
+            flat = np.concatenate(ids) if ids else np.empty(0, self.kind)
+            for k, i in enumerate(which):
+                out[i] = flat[bounds[k] : bounds[k + 1]]
+        for i, found in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            out[i] = found
         return out  # type: ignore[return-value]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder.at(path)
-    end = np.array([end_id], encoder.kind).tobytes()
-    width = len(end)
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, ids, seen): a row per document, and at the end one row whose ``seen`` has the id counts of them all."""
+    encoder = Encoder.at(path, end_id)
+    end = np.array([end_id], encoder.kind)
+    total = np.zeros(1, np.int64)
+    names = ["doc_id", "n", "ids", "seen"]
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
         i = 0
         while i < len(sizes):
-            j, total = i, 0
-            while j < len(sizes) and (j == i or total + sizes[j] <= 1 << 20):
-                total += sizes[j]
+            j, size = i, 0
+            while j < len(sizes) and (j == i or size + sizes[j] <= SLICE):
+                size += sizes[j]
                 j += 1
-            texts = pc.fill_null(batch.column(1).slice(i, j - i), "").to_pylist()
-            ids = [x + end for x in encoder.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(i, j - i),
-                    pa.array([len(x) // width for x in ids], pa.int64()),
-                    pa.array(ids, pa.binary()),
-                ],
-                ["doc_id", "n", "ids"],
-            )
+            found = encoder.encode(pc.fill_null(batch.column(1).slice(i, j - i), "").to_pylist())
+            seen = np.bincount(np.concatenate(found))
+            if len(seen) > len(total):
+                total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
+            total[: len(seen)] += seen
+            payload = pa.array([np.concatenate([x, end]).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) + 1 for x in found], pa.int64()), payload, pa.nulls(j - i, pa.binary())], names)
             i = j
+    used = np.flatnonzero(total)
+    counts = np.column_stack([used, total[used]]).astype("<i8").tobytes()
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names)
 
 
-def _count(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        _, offsets, data = batch.column(0).buffers()
-        first = batch.column(0).offset
-        bounds = np.frombuffer(offsets, np.int32, len(batch) + 1, first * 4)
-        seen = np.bincount(np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view(kind)) if bounds[-1] > bounds[0] else np.zeros(1, np.int64)
-        if len(seen) > len(total):
-            total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-        total[: len(seen)] += seen
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+        for counts in batch.column(0).to_pylist():
+            pairs = np.frombuffer(counts, "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1])], ["id", "n"])
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -264,18 +393,18 @@ def _code(key: str, shared) -> Code:
 _BLOCK = ["part", "block", "ids_before", "n_ids", "doc_ids", "doc_lengths", "checkpoints", "bits"]
 
 
-def _write_blocks(batches: Iterator[pa.RecordBatch], key: str, shared, kind: str, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _write_blocks(batches: Iterator[pa.RecordBatch], key: str, shared, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     code, part = _code(key, shared), TaskContext.get().partitionId()
     before = block = 0
     docs: list = []
     payload: list[bytes] = []
+    sizes: list[int] = []
     pending = 0
 
     def out() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(payload), kind)
+        ids = np.frombuffer(b"".join(payload), f"<u{len(payload[0]) // sizes[0]}")
         bits, checkpoints = code.pack(ids)
-        width = np.dtype(kind).itemsize
-        row = [part, block, before, len(ids), docs, [len(x) // width for x in payload], checkpoints, bits]
+        row = [part, block, before, len(ids), docs, sizes, checkpoints, bits]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], _BLOCK)
 
@@ -283,9 +412,10 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], key: str, shared, kind: str
         for doc, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if pending and pending + n > BLOCK_IDS:
                 yield out()
-                before, block, pending, docs, payload = before + pending, block + 1, 0, [], []
+                before, block, pending, docs, payload, sizes = before + pending, block + 1, 0, [], [], []
             docs.append(doc)
             payload.append(ids)
+            sizes.append(n)
             pending += n
     if pending:
         yield out()
@@ -296,21 +426,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, tex
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = plain.schema["doc_id"].dataType
-    kind = Encoder.at(tokenizer).kind
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    encoded = plain.mapInArrow(lambda it: _encode(it, tokenizer, end_id), schema)
+    arrow_id = to_arrow_type(id_type)
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("seen", T.BinaryType())])
+    encoded = plain.mapInArrow(lambda it: _encode(it, tokenizer, end_id, arrow_id), schema)
     # identical rows are told apart by a number, so that a huge group of them is not one range
     ids_path = storage.write(encoded.select("*", F.xxhash64("ids").alias("mark"), F.xxhash64(F.monotonically_increasing_id()).alias("row")), "token-ids")
     ids = spark.read.parquet(ids_path)
-    counts = ids.select("ids").mapInArrow(lambda it: _count(it, kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
-    symbols, freq = np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], np.int64)
+    seen = ids.where("seen is not null").select("seen").mapInArrow(_seen, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    documents = ids.where("n > 0")
+    n_docs = documents.count()
+    counts = seen.orderBy("id").toArrow()
+    freq = np.zeros(max([end_id, *counts.column(0).to_pylist()]) + 1, np.int64)
+    freq[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    freq[end_id] += n_docs
+    symbols = np.flatnonzero(freq)
+    freq = freq[symbols]
     lengths = code_lengths(freq, max(limit, int(np.ceil(np.log2(max(2, len(symbols)))))))
     spark.createDataFrame(list(zip(symbols.tolist(), lengths.tolist(), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
     shared = spark.sparkContext.broadcast((symbols, lengths))
-    arrow_id = to_arrow_type(id_type)
     order = [F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("row")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+    ranged = documents.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
     blocks = T.StructType([
         T.StructField("part", T.IntegerType()),
         T.StructField("block", T.IntegerType()),
@@ -321,7 +457,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, tex
         T.StructField("checkpoints", T.ArrayType(T.LongType())),
         T.StructField("bits", T.BinaryType()),
     ])
-    ranged.mapInArrow(lambda it: _write_blocks(it, path, shared, kind, arrow_id), blocks).write.option("compression", "none").parquet(f"{path}/blocks")
+    ranged.mapInArrow(lambda it: _write_blocks(it, path, shared, arrow_id), blocks).write.option("compression", "none").parquet(f"{path}/blocks")
     storage.remove(spark, ids_path)
 
 
@@ -354,8 +490,8 @@ def _decode(batches: Iterator[pa.RecordBatch], key: str, shared, with_ids: bool)
 
 def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for, the ids, all decoded from the files."""
-    codes = spark.read.parquet(f"{path}/codes").orderBy("id").collect()
-    shared = spark.sparkContext.broadcast((np.array([r[0] for r in codes], np.int64), np.array([r[1] for r in codes], np.int64)))
+    codes = spark.read.parquet(f"{path}/codes").orderBy("id").toArrow()  # at most one row for each id of the vocabulary
+    shared = spark.sparkContext.broadcast(tuple(codes.column(k).to_numpy().astype(np.int64) for k in (0, 1)))
     blocks = spark.read.parquet(f"{path}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     bases = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

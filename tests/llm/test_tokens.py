@@ -92,3 +92,22 @@ def test_lengths_are_optimal_without_a_binding_limit():
         total += a
         heapq.heappush(heap, a)
     assert int((tokenfile.code_lengths(counts, 40) * counts).sum()) == total
+
+
+def test_words_equal_the_library(monkeypatch):
+    """Random Latin-1 texts, with slices and a table of known words that are far too small."""
+    monkeypatch.setattr(tokenfile, "SLICE", 300)
+    monkeypatch.setattr(tokenfile, "CACHE_BYTES", 4000)
+    encode, rnd = library("word_bpe_49k.json"), random.Random(3)
+    encoder = tokenfile.Encoder(P.path("word_bpe_49k.json"), 2)
+    signs = "abstmdrevl'' '\n\t.-!9²Àßÿ×÷µªº¼\x85\xa0\x1cZ"
+    for _ in range(400):
+        texts = ["".join(rnd.choices(signs, k=rnd.choice([0, 1, 5, 40, 900]))) for _ in range(rnd.randint(1, 5))] + rnd.sample(["漢字", "it's <|endoftext|>", "x" * 700], 1)
+        assert [x.tolist() for x in encoder.encode(texts)] == [encode(t) for t in texts]
+
+
+def test_a_huge_group_of_equal_rows(spark, tmp_path):
+    path = str(tmp_path / "same")
+    tokenfile.write_tokens(documents(spark, [(7, "the same words again")] * 3000 + [(1, "first")]), path, P.path("word_bpe_49k.json"), end_id=2)
+    got = tokenfile.read_tokens(spark, path, with_ids=False).orderBy("start").collect()
+    assert len(got) == 3001 and got[0].doc_id == 1 and [r.start for r in got[1:4]] == [got[0].n_tokens + k * got[1].n_tokens for k in range(3)]
