@@ -38,7 +38,7 @@ from orthoplex.llm import storage
 BLOCK_IDS, EVERY, LIMIT = 1 << 16, 1024, 16
 
 #: Bytes that the table of known words may take in each worker, and bytes of text handled at once.
-CACHE_BYTES, SLICE = 48 << 20, 2 << 20
+CACHE_BYTES, SLICE = 48 << 20, 1 << 19
 
 # The split pattern of this kind of vocabulary begins so; its classes for lower-cased characters below U+0100.
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|"
@@ -94,12 +94,19 @@ class Known:
         return np.where((self.hash[place] == h) & (self.first[place] == a) & (self.second[place] == b), place, -1)
 
     def add(self, h: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(h, kind="stable")
         start = len(self.ids) + np.cumsum(size) - size
-        order = np.argsort(np.concatenate([self.hash, h]), kind="stable")
-        pairs = ((self.hash, h), (self.first, a), (self.second, b), (self.start, start), (self.size, size.astype(np.int32)))
-        self.hash, self.first, self.second, self.start, self.size = (np.concatenate(p)[order] for p in pairs)
+        place = np.searchsorted(self.hash, h[order])
+        self.hash = np.insert(self.hash, place, h[order])
+        self.first = np.insert(self.first, place, a[order])
+        self.second = np.insert(self.second, place, b[order])
+        self.start = np.insert(self.start, place, start[order])
+        self.size = np.insert(self.size, place, size[order].astype(np.int32))
         self.ids = np.concatenate([self.ids, ids])
 
+    def merge(self, other: Known) -> None:
+        self.add(other.hash, other.first, other.second, other.size.astype(np.int64), other.ids[_ranges(other.start, other.size.astype(np.int64))])
+
     def bytes(self) -> int:
         return 36 * len(self.hash) + self.ids.nbytes
 
@@ -146,7 +153,7 @@ class Encoder:
             self._words = Tokenizer.from_str(json.dumps(said))
             self.ends = np.zeros(max(model["vocab"].values(), default=0) + 1, bool)
             self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
-            self.known = Known(self.kind)
+            self.known, self.young = Known(self.kind), Known(self.kind)  # the second takes what is new, and is small
 
     @classmethod
     def at(cls, path: str, end_id: int) -> Encoder:
@@ -199,25 +206,29 @@ class Encoder:
         one = order[fresh]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(fresh) - 1
-        place = self.known.find(h[one], a[one], b[one])
-        place[size[one] > 16] = -1
-        new = np.flatnonzero(place < 0)
+        found = [t.find(h[one], a[one], b[one]) for t in (self.known, self.young)]
+        new = np.flatnonzero((found[0] < 0) & (found[1] < 0) | (size[one] > 16))
         at_new = one[new]
         text = data.tobytes().decode("latin-1")
         ids, many = self._each([text[i:j] for i, j in zip(begins[at_new].tolist(), ends[at_new].tolist(), strict=True)])
-        count = np.empty(len(one), np.int64)
-        start = np.empty(len(one), np.int64)
-        old = np.flatnonzero(place >= 0)
-        count[old], count[new] = self.known.size[place[old]], many
-        flat = np.concatenate([self.known.ids[_ranges(self.known.start[place[old]], count[old])], ids])
-        start[old] = np.cumsum(count[old]) - count[old]
-        start[new] = len(flat) - len(ids) + np.cumsum(many) - many
-        out = flat[_ranges(start[which], count[which])]
-        if self.known.bytes() + 36 * len(new) + ids.nbytes > CACHE_BYTES:
-            self.known = Known(self.kind)
+        count, start, flat, done = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), [], 0
+        for table, place in zip((self.known, self.young), found, strict=True):
+            place[new] = -1
+            old = np.flatnonzero(place >= 0)
+            count[old] = table.size[place[old]]
+            start[old] = done + np.cumsum(count[old]) - count[old]
+            flat.append(table.ids[_ranges(table.start[place[old]], count[old])])
+            done += len(flat[-1])
+        count[new], start[new] = many, done + np.cumsum(many) - many
+        out = np.concatenate([*flat, ids])[_ranges(start[which], count[which])]
+        if self.known.bytes() + self.young.bytes() + 36 * len(new) + ids.nbytes > CACHE_BYTES:
+            self.known, self.young = Known(self.kind), Known(self.kind)
         short = size[at_new] <= 16
         keep = at_new[short]
-        self.known.add(h[keep], a[keep], b[keep], many[short], ids[np.repeat(short, many)])
+        self.young.add(h[keep], a[keep], b[keep], many[short], ids[np.repeat(short, many)])
+        if 8 * len(self.young.hash) > len(self.known.hash):
+            self.known.merge(self.young)
+            self.young = Known(self.kind)
         return out, begins, np.concatenate([[0], np.cumsum(count[which])])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
