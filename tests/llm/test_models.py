@@ -128,7 +128,110 @@ def test_posterior_trusts_many_voters_over_one_label():
     assert ((p > 0.5) == truth).mean() > 0.97 > (labels == truth).mean()
 
 
+def naive_posterior(votes, labels, parents, rounds):
+    """The same model with loops; ``parents`` gives the forest of each round."""
+    n, m = len(votes), len(votes[0]) if len(votes) else 0
+    p = [0.1 + 0.8 * y for y in labels]
+    for r in range(rounds):
+        mass = [[1 - q for q in p], p]
+        odds = [np.log(sum(mass[1]) / sum(mass[0]))] * n
+        for c, sign in ((0, -1), (1, 1)):
+            total = sum(mass[c])
+            rate = [(sum(w for w, v in zip(mass[c], votes, strict=True) if v[j]) + 0.5) / (total + 1) for j in range(m)]
+
+            def joint(j, a, k, b):
+                base = (rate[j] if a else 1 - rate[j]) * (rate[k] if b else 1 - rate[k])
+                return (sum(w for w, v in zip(mass[c], votes, strict=True) if v[j] == a and v[k] == b) + 0.5 * base) / (total + 0.5)
+
+            for j in range(m):
+                k = parents[r][j]
+                for i in range(n):
+                    a = votes[i][j]
+                    if k < 0:
+                        k_ = (j - 1) % m
+                        chance = joint(j, a, k_, 0) + joint(j, a, k_, 1)
+                    else:
+                        b = votes[i][k]
+
+                        def mass_of(c_, a_, j=j, k=k, b=b):
+                            return sum(w for w, v in zip(mass[c_], votes, strict=True) if v[j] == a_ and v[k] == b)
+
+                        pooled = (mass_of(0, a) + mass_of(1, a) + 0.5) / (sum(mass_of(x, z) for x in (0, 1) for z in (0, 1)) + 1)
+                        chance = (mass_of(c, a) + toxicity.SHARED * pooled) / (mass_of(c, 0) + mass_of(c, 1) + toxicity.SHARED)
+                    odds[i] += sign * np.log(chance)
+        alone = [1 / (1 + np.exp(-o)) for o in odds]
+        right = min(0.97, max(0.05, sum(q * y for q, y in zip(alone, labels, strict=True)) / (sum(alone) + 1e-9)))
+        wrong = min(0.9, max(0.02, sum((1 - q) * y for q, y in zip(alone, labels, strict=True)) / (sum(1 - q for q in alone) + 1e-9)))
+        p = [1 / (1 + np.exp(-(o + (np.log(right / wrong) if y else np.log((1 - right) / (1 - wrong)))))) for o, y in zip(odds, labels, strict=True)]
+    return np.clip(p, 0.01, 0.99)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_posterior_equals_a_plain_one(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    n, m = int(rng.integers(8, 30)), int(rng.integers(2, 6))
+    votes = (rng.random((n, m)) < 0.4).astype(float)
+    votes[:, 1] = np.where(rng.random(n) < 0.9, votes[:, 0], votes[:, 1])  # two that hang together
+    labels = (rng.random(n) < 0.5).astype(float)
+    labels[:2] = 0, 1
+    parents, own = [], toxicity.dependencies
+    monkeypatch.setattr(toxicity, "dependencies", lambda *x: parents.append(own(*x)) or parents[-1])
+    got = toxicity.posterior(votes, labels, np.ones(n), rounds=3)
+    assert np.allclose(got, naive_posterior(votes.astype(int).tolist(), labels.tolist(), parents, 3))
+
+
+def test_dependencies_are_the_best_forest():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    votes = (rng.random((60, 4)) < 0.5).astype(float)
+    votes[:, 2] = np.where(rng.random(60) < 0.85, votes[:, 0], votes[:, 2])
+    masses = [rng.random(60), rng.random(60)]
+    tables = [toxicity._tables(votes, q) for q in masses]
+    gain = np.zeros((4, 4))
+    for q, mass in zip(tables, masses, strict=True):
+        for i, j in product(range(4), repeat=2):
+            for a, b in product((0, 1), repeat=2):
+                gain[i, j] += mass.sum() / sum(x.sum() for x in masses) * q[i, j, a, b] * np.log(q[i, j, a, b] / (q[i, j, a].sum() * q[i, j, :, b].sum()))
+
+    def is_forest(parents):
+        return all(any(k < 0 for k in _up(parents, j)) for j in range(4))
+
+    def _up(parents, j):
+        for _ in range(5):
+            j = parents[j]
+            yield j
+            if j < 0:
+                return
+
+    for least in (0.0, 0.02, 10.0):
+        found = toxicity.dependencies(tables, [q.sum() for q in masses], least)
+        value = lambda ps: sum(gain[j, k] - least for j, k in enumerate(ps) if k >= 0)
+        best = max(value(ps) for ps in product(range(-1, 4), repeat=4) if is_forest(ps))
+        assert is_forest(found.tolist()) and np.isclose(value(found), best)
+
+
+def test_the_sample_is_bounded_where_ids_repeat(spark):
+    rows, labels = toxic_rows(5, 40)
+    given = spark.createDataFrame(labels * 3, "doc_id long, quality int, toxic int")
+    many = documents(spark, [(i, f"{t} {k}") for i, t in rows for k in range(30)])
+    sample, totals = toxicity.labelled_sample(many, given, text="text", doc_id="doc_id", label="toxic", max_labelled=15)
+    assert totals == {k: sum(x[2] == k for x in labels) for k in (0, 1)}
+    assert {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()} == {0: 15, 1: min(15, 30 * totals[1])}
+    assert toxicity.score(many, given, max_labelled=15).count() == len(rows) * 30
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_tiny_models(n):
-    model = toxicity.fit(np.array([1, 0][:n]), [np.array([5, 9], np.uint64), np.array([9], np.uint64)][:n], np.ones(n)).prepare()
+    places = [(0, 0), (0, 1), (1, 1)][: [0, 2, 3][n]]
+    model = toxicity.fit(np.array([1, 0][:n]), np.array([r for r, _ in places], np.int64), np.array([c for _, c in places], np.int64), np.array([5, 9], np.uint64), np.ones(n)).prepare()
     assert 0 <= model.scores(np.frombuffer(b"abc def", np.uint8), np.array([0, 7]))[0] <= 1
+
+
+def test_lexicon_votes_need_no_labels(spark):
+    """A stem of the lexicon that no labelled row has taught is still a voter, seen as a word and as the start of one."""
+    hashes, stems = toxicity.lexicon_hashes()
+    data = np.frombuffer(b"IDIOTIC idiot hello", np.uint8)
+    found, _ = toxicity._levels(*toxicity.features(data, np.array([0, len(data)])))
+    k = toxicity.LEXICON.index("idiot")
+    assert np.isin(hashes[stems == k], found).all() and not np.isin(hashes[stems == toxicity.LEXICON.index("moron")], found).any()
