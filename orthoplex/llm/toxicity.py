@@ -42,8 +42,9 @@ _BITS = 22
 #: A pattern that a text has so many times is a feature (its hash with the lowest bits naming which).
 TIMES, _BASE = (1, 2, 4), np.uint64((1 << 64) - 4)
 
-#: Rows by which the classes share how voters hang together.
-SHARED = 5.0
+#: Rows by which the classes share how voters hang together; least standard errors of a feature;
+#: weight of the labels against the posterior where the parameters are estimated.
+SHARED, FEATURE_Z, ANCHOR = 5.0, 2.5, 0.5
 
 # Stems of insults and threats in the languages of common corpora; a word votes if it begins with one.
 LEXICON = (
@@ -166,15 +167,18 @@ def posterior(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds
     """Probability of class 1 from binary votes and a label that may be wrong.
 
     The model: P(class) P(label | class) times, over voters, P(vote | class, vote of the
-    voter it depends on); how two voters hang together is taken to be the same in both
+    voter it depends on).  How two voters hang together is taken to be the same in both
     classes as far as ``SHARED`` rows say.  The label starts the estimate and then is one more voter,
     whose rates follow from how often it agrees with the others (and are kept off 0 and
-    1, so it can be outvoted).
+    1, so it can be outvoted); it keeps ``ANCHOR`` of the weight in the estimates of the
+    voters, so that no group of texts drifts to the other class as a whole.
     """
     n, m = weights.sum(), votes.shape[1]
-    x, p = votes.astype(np.int8), 0.1 + 0.8 * labels
+    x, start = votes.astype(np.int8), 0.1 + 0.8 * labels
+    p = start
     for _ in range(rounds):
-        masses = [weights * (1 - p), weights * p]
+        q = ANCHOR * start + (1 - ANCHOR) * p
+        masses = [weights * (1 - q), weights * q]
         tables = [_tables(votes, q) for q in masses]
         parent = dependencies(tables, [q.sum() for q in masses], np.log(max(n, 2.0)) / max(n, 2.0))
         root = parent < 0
@@ -283,8 +287,8 @@ def fit(labels: np.ndarray, rows: np.ndarray, cols: np.ndarray, hashes: np.ndarr
     said = np.zeros((n, len(LEXICON)), np.float32)
     said[rows[stem_of[cols] >= 0], stem_of[cols][stem_of[cols] >= 0]] = 1
     said = said[:, said.sum(0) > 0]
-    least = max(2.5, (2 * np.log(max(2, tried))) ** 0.5)
-    useful = np.abs(z) > least
+    least = max(FEATURE_Z, (2 * np.log(max(2, tried))) ** 0.5)
+    useful = np.abs(z) > FEATURE_Z
     if not useful.any():
         useful[np.argsort(-np.abs(z), kind="stable")[:16]] = True
     chosen = np.flatnonzero(useful | (stem_of >= 0))
@@ -293,7 +297,8 @@ def fit(labels: np.ndarray, rows: np.ndarray, cols: np.ndarray, hashes: np.ndarr
     inside = rank[cols] >= 0
     r, c = rows[inside], rank[cols[inside]]
     order = np.argsort(-z[chosen], kind="stable")
-    candidates = order[z[chosen][order] > least][: 8 * VOTERS]
+    once = (hashes[chosen] & ~_BASE) == 0
+    candidates = order[(z[chosen][order] > least) & once[order]][: 8 * VOTERS]
     place = np.full(len(chosen), -1)
     place[candidates] = np.arange(len(candidates))
     votes = np.zeros((n, len(candidates)), np.float32)

@@ -133,7 +133,8 @@ def naive_posterior(votes, labels, parents, rounds):
     n, m = len(votes), len(votes[0]) if len(votes) else 0
     p = [0.1 + 0.8 * y for y in labels]
     for r in range(rounds):
-        mass = [[1 - q for q in p], p]
+        q = [toxicity.ANCHOR * (0.1 + 0.8 * y) + (1 - toxicity.ANCHOR) * x for x, y in zip(p, labels, strict=True)]
+        mass = [[1 - x for x in q], q]
         odds = [np.log(sum(mass[1]) / sum(mass[0]))] * n
         for c, sign in ((0, -1), (1, 1)):
             total = sum(mass[c])
