@@ -41,7 +41,7 @@ class Axis:
 @dataclass
 class Cell:
     ordinal: int
-    value: float
+    value: float | str
     formatted: str
 
 
@@ -92,6 +92,10 @@ def cellset(cube: Cube, text: str, user: User | None = None) -> Cellset:
             above = () if r["parent"] in (None, ALL) else tuple(r["parent"].split("|"))
             tuples.append((_path_member(d, (*above, r["member"])),))
         return Cellset([Axis("Axis0", tuples)], _slicer(cube, q, {g.dimension for g in q.groups}), [])
+    if q.kind == "probe":
+        rows = cube.dataframe(q, user).collect()
+        members = [(Member("[Measures]", f"[Measures].[{r.member}]", r.member, "[Measures].[MeasuresLevel]", 0, info=0 if k == 0 else SAME_PARENT),) for k, r in enumerate(rows)]
+        return Cellset([Axis("Axis0", members)], _slicer(cube, q, set()), [Cell(k, r.value, r.value) for k, r in enumerate(rows)])
     if q.kind == "count":
         n = cube.dataframe(q, user).first()[0]
         d = cube.model.dimension(q.groups[0].dimension)

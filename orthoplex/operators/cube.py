@@ -12,6 +12,8 @@ adaptive execution splits what is skewed.  Calendars are bounded by ``MAX_DAYS``
 from __future__ import annotations
 
 import datetime as dt
+import math
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -58,9 +60,10 @@ class Cube:
         if q.kind == "empty":
             return self._empty([], [])
         if q.kind == "tuples":
-            parts = [self._cell(c, k, g) for k, c in enumerate(q.cells)]
-            out = reduce(DataFrame.unionByName, parts)
+            out = self._cells(q.cells, g)
             return out.orderBy("ord") if ordered else out
+        if q.kind == "probe":
+            return self._probe(q)
         if q.kind == "count":
             return self._count(q, g)
         if q.kind == "members":
@@ -75,7 +78,7 @@ class Cube:
         limited = False
         for op in q.set_ops:
             out = apply_set_op(out, op, op.measure or default, labels)
-            limited |= op.kind in ("top", "bottom", "order")
+            limited |= op.kind in ("top", "bottom", "order", "head")
         out = out.select(*[F.col(f"`{c}`") for c in [*labels, *[m.id for m in measures]]])
         if ordered and labels and not limited:
             out = out.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in labels])
@@ -254,16 +257,16 @@ class Cube:
         return out
 
     def _small(self, side: DataFrame, table: str) -> DataFrame:
-        return F.broadcast(side) if table in self.calendars or self._bytes(table) <= self.broadcast_bytes else side
+        return F.broadcast(side) if table in self.calendars or self._bytes(table, side.columns) <= self.broadcast_bytes else side
 
-    def _bytes(self, table: str) -> int:
-        """About how much a dimension table takes in memory, from its rows."""
-        if table not in self._sizes:
-            df = self.table(table)
-            variable = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-            row = reduce(lambda a, b: a + b, variable, F.lit(32 + 8 * len(df.columns)).cast("long"))
-            self._sizes[table] = df.agg(F.sum(row)).first()[0] or 0
-        return self._sizes[table]
+    def _bytes(self, table: str, columns: list[str]) -> int:
+        """About how much those columns of a dimension table take in memory, from its rows (filters aside, so at most that)."""
+        own = tuple(f.name for f in self.schema(table) if f.name in columns and isinstance(f.dataType, (T.StringType, T.BinaryType)))
+        if (table, own, len(columns)) not in self._sizes:
+            variable = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in own]
+            row = reduce(lambda a, b: a + b, variable, F.lit(32 + 8 * len(columns)).cast("long"))
+            self._sizes[table, own, len(columns)] = self.table(table).agg(F.sum(row)).first()[0] or 0
+        return self._sizes[table, own, len(columns)]
 
     def _key_range(self, d: Dimension, rel: Relationship, filters: list[Filter]) -> Column:
         """The fact's keys lie between the first and the last day that the filters allow: a predicate that the scan can use.
@@ -324,6 +327,71 @@ class Cube:
         one = self._measures(CubeQuery("total", (m.id,), filters=cell.filters), [m], g)
         return one.select(F.lit(ordinal).cast("long").alias("ord"), F.lit(m.id).alias("measure"), F.col(f"`{m.id}`").alias("value"))
 
+    def _cells(self, cells: tuple[Cell, ...], g: Grant) -> DataFrame:
+        """(ord, measure, value) of each cell: one scan of a fact for all of its cells that single aggregates answer."""
+        together: dict[str, list[int]] = {}
+        parts = []
+        for k, cell in enumerate(cells):
+            m = self.model.measure(cell.measure)
+            fact = self.model.fact_of(m)
+            plain = m.time is None and m.fallback is None and not m.requires and single_aggregate(to_spark(m.sql)) is not None
+            if plain and not self.rollups and not self._predicates(fact, g) and not self._blocked(g, self._used(fact, self._own(cell.filters, m))):
+                together.setdefault(fact.id, []).append(k)
+            else:
+                parts.append(self._cell(cell, k, g))
+        for fact_id, places in together.items():
+            parts.append(self._one_scan(self.model.fact(fact_id), places, cells) if len(places) > 1 else self._cell(cells[places[0]], places[0], g))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _own(self, filters: tuple[Filter, ...], m: Measure) -> list[Filter]:
+        return [f for f in filters if self.model.compatible(self.model.dimension(f.dimension), m)]
+
+    def _used(self, fact: Fact, filters: list[Filter]) -> set[str]:
+        """The tables that a query with these filters touches."""
+        out = {fact.table}
+        for f in filters:
+            d = self.model.dimension(f.dimension)
+            rel = self.model.relationship(d, fact)
+            out.add(rel.table if rel else d.table or fact.table)
+        return out
+
+    def _one_scan(self, fact: Fact, places: list[int], cells: tuple[Cell, ...]) -> DataFrame:
+        out, joined = self.table(fact.table).alias("f"), set()
+        tests, shown = [], []
+        for k in places:
+            m = self.model.measure(cells[k].measure)
+            test = F.lit(True)
+            for f in self._own(cells[k].filters, m):
+                d = self.model.dimension(f.dimension)
+                rel = self.model.relationship(d, fact)
+                if rel is not None and d.id not in joined:
+                    joined.add(d.id)
+                    side = self.table(rel.table).select(*self._needed(d, rel, [], [], fact)).dropDuplicates([rel.column])
+                    out = out.join(self._small(side, rel.table).alias(alias_of(d)), F.col(f"f.`{rel.fact_column}`") == F.col(f"{alias_of(d)}.`{rel.column}`"), "left")
+                test = test & self._holds(d, f, rel.table if rel else fact.table, alias_of(d) if rel else "f")
+            tests.append((k, m, test))
+        any_of = reduce(lambda a, b: a | b, [t for *_, t in tests])
+        out = out.where(any_of).select("*", *[t.alias(f"__cell{k}") for k, _, t in tests])
+        for k, m, _ in tests:
+            shown.append(F.coalesce(F.expr(single_aggregate(to_spark(m.sql)).text(f"__cell{k}")).cast("double"), F.lit(0.0)).alias(f"v{k}"))
+        rows = F.array(*[F.struct(F.lit(k).cast("long").alias("ord"), F.lit(m.id).alias("measure"), F.col(f"v{k}").alias("value")) for k, m, _ in tests])
+        return out.agg(*shown).select(F.inline(rows))
+
+    def _probe(self, q: CubeQuery) -> DataFrame:
+        """(ord, member, value): the unique name, caption or level of members that a client asks for by name."""
+        return self.spark.createDataFrame([(k, name, self.probe_value(target, what)) for k, (name, target, what) in enumerate(q.probes)], "ord long, member string, value string")
+
+    def probe_value(self, target: str, what: str) -> str:
+        parts = [x.strip("[]") for x in target.split("].[")] if "&" not in target else [target.split("]")[0].strip("[")]
+        if parts[0].lower() == "measures":
+            m = self.model.measure(parts[-1].strip("[]"))
+            known = {"uniquename": f"[Measures].[{m.caption}]", "caption": m.display, "level.uniquename": "[Measures].[MeasuresLevel]"}
+        else:
+            d = self.model.dimension(parts[0])
+            caption = target.rsplit("&[", 1)[-1].rstrip("]") if "&[" in target else parts[-1]
+            known = {"uniquename": target, "caption": caption, "level.uniquename": f"[{d.caption}].[{d.hierarchy}]"}
+        return known.get(what.lower(), "")
+
     def _count(self, q: CubeQuery, g: Grant) -> DataFrame:
         """Number of different members of a level that occur in the fact; nulls don't count."""
         group = q.groups[0]
@@ -342,9 +410,11 @@ class Cube:
 
         parts = []
         for group in q.groups:
-            found = members(self, group.dimension, level=group.level, grant_=g)
-            keys = [k[-1] for f in q.filters if f.dimension == group.dimension for k in f.keys]
-            parts.append(found.where(F.col("member").isin(keys)))
+            d = self.model.dimension(group.dimension)
+            own = [f for f in q.filters if f.dimension == group.dimension]
+            for f in own:
+                found = members(self, group.dimension, level=group.level if f.level is None or not d.levels else f.level, grant_=g, parent=f)
+                parts.append(found.select("dimension", "level", "member", "parent"))
         return reduce(DataFrame.unionByName, parts)
 
     def drillthrough(self, q: CubeQuery | str, user: User | None = None, *, limit: int | None = None, order_by: list[str] | None = None) -> DataFrame:
@@ -355,26 +425,36 @@ class Cube:
         measure = self.model.measure(q.measures[0]) if q.measures else self.model.default_measure()
         fact = self.model.fact_of(measure)
         filters = [f for f in q.filters if self.model.compatible(self.model.dimension(f.dimension), measure)]
-        if self._blocked(g, {fact.table}):
+        if self._blocked(g, self._used(fact, filters)):
             return self.table(fact.table).limit(0)
         out = self._star(fact, CubeQuery("drillthrough"), filters, g, []).select("f.*")
-        order = order_by or self.schema(fact.table).names[:1]
+        sortable = [f.name for f in self.schema(fact.table) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        order = [*(order_by or []), *[F.col(f"`{c}`") for c in sortable if c not in (order_by or [])]]  # all columns: rows at the limit are the same in every run
         return out.orderBy(*order).limit(limit or q.max_rows or MAX_DRILLTHROUGH)
 
     def _with_fallback(self, fact: Fact, measures: list[Measure], fallback: list[Measure], q: CubeQuery, g: Grant) -> DataFrame:
-        """Measures given as a whole SQL statement: only where their declared capability covers the query, and never under row filters."""
-        if self._predicates(fact, g):
-            raise ModelError("measures from SQL statements do not honour row filters; refused")
-        plain = [m for m in measures if m not in fallback]
+        """Measures given as a whole SQL statement, which reads what it likes and knows no filters.
+
+        So it is refused under filters, where its declared capability does not cover the
+        query, and to users from whom any table of the cube is hidden or filtered.
+        """
         labels = self.labels(q.groups)
+        used = self._used(fact, [Filter(x.dimension, None, ()) for x in q.groups])
+        if self._blocked(g, used):
+            return self._empty(labels, [m.id for m in measures])
+        known = {*self.tables, *[f.table for f in self.model.facts], *[r.table for r in self.model.relationships]}
+        if any(g.table(t).kind != "full" for t in known):
+            raise ModelError("measures from SQL statements do not honour access rules; refused")
+        plain = [m for m in measures if m not in fallback]
         frames = [self._of_fact(fact, plain, q, g)] if plain else []
         for m in fallback:
-            if not m.fallback_sql or m.fallback == "Stub" or (m.fallback == "ScalarOnly" and labels) or q.filters:
-                frames.append(self._empty(labels, [m.id]) if labels else self.spark.range(1).select(F.lit(0.0).alias(m.id)))
-                continue
-            for name, table in self.tables.items():
-                table.createOrReplaceTempView(name)
-            found = self.spark.sql(to_spark(m.fallback_sql))
+            if not m.fallback_sql or m.fallback == "Stub":
+                raise ModelError(f"measure {m.caption!r} has no statement yet")
+            if m.fallback == "ScalarOnly" and labels:
+                raise ModelError(f"measure {m.caption!r} answers totals only")
+            if [f for f in q.filters if self.model.compatible(self.model.dimension(f.dimension), m)]:
+                raise ModelError(f"measure {m.caption!r} is a statement that knows no filters")
+            found = self._statement(to_spark(m.fallback_sql))
             names = found.columns
             frames.append(found.select(*[F.col(f"`{names[k]}`").cast("string").alias(c) for k, c in enumerate(labels)], F.col(f"`{names[len(labels)]}`").cast("double").alias(m.id)))
         out = frames[0]
@@ -382,6 +462,19 @@ class Cube:
             out = out.crossJoin(other) if not labels else out.join(other, labels, "full")
         return out
 
+    def _statement(self, text: str) -> DataFrame:
+        """A statement over this cube's tables; they are named within it alone, so that two cubes of a session stay apart."""
+        body = text.strip().rstrip(";")
+        named = [t for t in self.tables if re.search(rf"(?<![\w.]){re.escape(t)}(?!\w)", body, re.I)]
+        if not named:
+            return self.spark.sql(body)
+        heads = ", ".join(f"`{t}` AS (SELECT * FROM {{t{k}}})" for k, t in enumerate(named))
+        own = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.I)
+        rest = body[own.end() :] if own else body
+        escaped = rest.replace("{", "{{").replace("}", "}}")
+        start = f"WITH {'RECURSIVE ' if own and own.group(1) else ''}{heads}"
+        return self.spark.sql(f"{start}, {escaped}" if own else f"{start} {escaped}", **{f"t{k}": self.tables[t] for k, t in enumerate(named)})
+
     def totals(self, dimension: str, level: int, measures: list[str], filters: tuple[Filter, ...] = (), user: User | None = None) -> DataFrame:
         """Members down to a level with the totals of their ancestors, each from the source rows: level columns, lvl (levels summed away) and measures."""
         g = grant(self.model, user)
@@ -429,19 +522,19 @@ def apply_set_op(df: DataFrame, op: SetOp, measure: str, labels: list[str]) -> D
     value, ties = F.col(f"`{measure}`"), [F.col(f"`{c}`").asc() for c in labels]
     if op.kind == "top":
         return df.orderBy(value.desc(), *ties).limit(int(op.n))
+    if op.kind == "head":
+        return df.orderBy(*ties).limit(int(op.n)) if ties else df.limit(int(op.n))
     if op.kind == "bottom":
         return df.orderBy(value.asc(), *ties).limit(int(op.n))
     if op.kind == "order":
         return df.orderBy(value.desc() if op.descending else value.asc(), *ties)
     if op.kind == "percent":
-        # a window over the members of one axis: as many rows as a client shows
-        if op.op == "value":  # the fewest top members that reach the share of the total
+        if op.op == "value":  # the fewest top members that reach the share of the total: a window over one axis, as many rows as a client shows
             order = Window.orderBy(value.desc(), *ties)
             before = F.coalesce(F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
             shares = df.select("*", before.alias("__before"), F.sum(value).over(Window.partitionBy()).alias("__total"))
             return shares.where(F.col("__before") < F.col("__total") * F.lit(float(op.n)) / 100).drop("__before", "__total")
-        ranked = df.select("*", F.row_number().over(Window.orderBy(value.desc(), *ties)).alias("__place"), F.count("*").over(Window.partitionBy()).alias("__of"))
-        return ranked.where(F.col("__place") <= F.ceil(F.col("__of") * F.lit(float(op.n)) / 100)).drop("__place", "__of")
+        return df.orderBy(value.desc(), *ties).limit(math.ceil(df.count() * float(op.n) / 100))  # a count first, so that no task sorts the whole axis
     if op.kind == "filter":
         near = F.abs(value - F.lit(op.n)) < 1e-9
         tests = {">": value > op.n, ">=": value >= op.n, "<": value < op.n, "<=": value <= op.n, "=": near, "<>": ~near}

@@ -29,7 +29,7 @@ class Filter:
 
 @dataclass(frozen=True)
 class SetOp:
-    kind: str  # top, bottom, percent, order, filter
+    kind: str  # top, bottom, percent, order, filter, head
     n: float = 0
     measure: str | None = None
     descending: bool = False
@@ -52,7 +52,7 @@ class Collapse:
 
 @dataclass(frozen=True)
 class CubeQuery:
-    kind: str  # total, group, tuples, count, members, drillthrough, empty
+    kind: str  # total, group, tuples, count, members, drillthrough, probe, empty
     measures: tuple[str, ...] = ()
     groups: tuple[Group, ...] = ()
     filters: tuple[Filter, ...] = ()
@@ -63,3 +63,4 @@ class CubeQuery:
     max_rows: int | None = None
     slicers: tuple[tuple[str, str], ...] = ()
     properties: tuple[str, ...] = ()
+    probes: tuple[tuple[str, str, str], ...] = ()  # calculated member, the member it names, the property asked for

@@ -10,7 +10,7 @@ from orthoplex.plans.model import Dimension, Model, ModelError
 from orthoplex.plans.query import Cell, Collapse, CubeQuery, Filter, Group, SetOp
 
 _ALL = ("all", "(all)")
-_SAME = {"hierarchize", "addcalculatedmembers", "nonempty", "distinct", "stripcalculatedmembers", "generate", "visualtotals", "head", "cachedset", "include_calc_members"}
+_SAME = {"hierarchize", "addcalculatedmembers", "nonempty", "distinct", "stripcalculatedmembers", "cachedset", "include_calc_members"}
 
 
 @dataclass
@@ -168,6 +168,13 @@ class Resolver:
             found = self.set(args[0])
             found.enumerates = True
             return found
+        if name == "head":
+            out = self.set(args[0])
+            if len(args) > 1 and not isinstance(args[1], mdx.Number):
+                raise ModelError("Head needs a number")
+            out.set_ops.append(SetOp("head", args[1].value if len(args) > 1 else 1))
+            out.enumerates = True
+            return out
         if name in ("crossjoin", "union"):
             out = Found()
             for a in args:
@@ -316,16 +323,25 @@ class Resolver:
                 for level, key in p.members:
                     by_level.setdefault(level, []).append(key)
                 out += [Filter(p.dimension.id, level, tuple(keys)) for level, keys in by_level.items()]
-                if p.excluded:
-                    out.append(Filter(p.dimension.id, p.excluded[0][0], tuple(k for _, k in p.excluded), True))
+                without: dict[int | None, list[tuple[str, ...]]] = {}
+                for level, key in p.excluded:
+                    without.setdefault(level, []).append(key)
+                out += [Filter(p.dimension.id, level, tuple(keys), True) for level, keys in without.items()]
         return _merged(out)
 
     def _with(self, s: mdx.Select) -> CubeQuery:
+        """The calculated members that clients send: names and captions of members, and counts of children."""
         text = " ".join(body for _, _, body in s.withs)
-        if "strtomember" in text.lower():
-            return CubeQuery("empty")
+        probes = []
+        for _, name, body in s.withs:
+            if m := re.search(r"strtomember\(\s*[\"'](.+?)[\"']\s*\)\s*\.\s*([\w.]+)", body, re.I):
+                probes.append((name.split("].[")[-1].strip("[]"), m.group(1), m.group(2)))
+        if probes:
+            return CubeQuery("probe", probes=tuple(probes))
         m = re.search(r"\[([^\]]+)\]\s*\.\s*\[([^\]]+)\]\.\s*currentmember\.\s*children", text, re.I)
-        if not m or m.group(1).lower() == "measures":
+        if not m:
+            raise ModelError("unsupported calculated member")
+        if m.group(1).lower() == "measures":
             return CubeQuery("empty")
         d = self.model.dimension(m.group(1))
         return CubeQuery("count", groups=(Group(d.id, 0),))

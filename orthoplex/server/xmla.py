@@ -123,7 +123,7 @@ def _axis(axis: Axis) -> str:
 def cellset_xml(found: Cellset, cube: str) -> str:
     axes = [*found.axes, found.slicer]
     info = "".join(map(_axis_info, axes))
-    cells = "".join(f'<Cell CellOrdinal="{c.ordinal}"><Value xsi:type="xsd:double">{c.value!r}</Value><FmtValue>{escape(c.formatted)}</FmtValue></Cell>' for c in found.cells)
+    cells = "".join(f'<Cell CellOrdinal="{c.ordinal}"><Value xsi:type="xsd:{"string" if isinstance(c.value, str) else "double"}">{escape(c.value) if isinstance(c.value, str) else repr(c.value)}</Value><FmtValue>{escape(c.formatted)}</FmtValue></Cell>' for c in found.cells)
     return (
         f'<root xmlns="{DATASET}" xmlns:xsi="{XSI}" xmlns:xsd="{XSD}"><OlapInfo><CubeInfo><Cube><CubeName>{escape(cube)}</CubeName></Cube></CubeInfo><AxesInfo>{info}</AxesInfo>'
         f'<CellInfo><Value name="VALUE"/><FmtValue name="FORMATTED_VALUE"/></CellInfo></OlapInfo><Axes>{"".join(map(_axis, axes))}</Axes><CellData>{cells}</CellData></root>'
