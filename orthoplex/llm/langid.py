@@ -6,12 +6,16 @@ of Ziv and Merhav); the language that needs the fewest phrases, normalised by th
 information one phrase carries, wins.  Case and everything but letters are folded
 away first.  The parse runs for all texts and languages in step: a text of more
 than ``PIECE`` letters is parsed in pieces of that length, every piece is a lane,
-and one array operation advances all lanes by a character.
+and one array operation advances all lanes by a character.  A piece begins with a
+new phrase at first; then the state in which the piece before it ends is carried
+over, and the piece is parsed again until both parses meet, which they soon do: the
+phrases are those of the whole text.
 
 Bounds: per language whole documents of ``TRAIN_DOC`` characters (least, most), in
 the order of a hash of their ids, until they have ``train_chars`` characters; a
 language that is still short of them goes on with its shorter documents, then with
-pieces of its longer ones.  Only those are broadcast, and each worker builds its
+pieces of its longer ones.  The ``MAX_LANGUAGES`` values with most rows are learnt
+(more are no languages).  Only those texts are broadcast, and each worker builds its
 automata once.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; null
@@ -33,6 +37,7 @@ from pyspark.sql import types as T
 from orthoplex.llm import arrowtext as at
 
 TRAIN_CHARS, TRAIN_DOC, PIECE, DOCS = 40_000, (200, 6000), 2048, 60
+MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 
 
@@ -102,31 +107,82 @@ class Parser:
         self.bits = np.log2([max(2, len(f)) for f in folded]) if tables else np.empty(0)
         self.width = width
 
-    def phrases(self, pieces: list[np.ndarray]) -> np.ndarray:
-        """Number of phrases of each piece in each language."""
-        n, k = len(pieces), len(self.names)
+    def _grid(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols by place and lane, the longest lane first; the lanes' order; how many reach each place."""
         sizes = np.array([len(p) for p in pieces])
         order = np.argsort(-sizes, kind="stable")
-        ranked = sizes[order]
-        grid = np.zeros((n, int(ranked[0])), self.symbol.dtype)
+        grid = np.zeros((len(pieces), int(sizes[order[0]])), self.symbol.dtype)
         for row, i in enumerate(order):
             grid[row, : sizes[i]] = pieces[i]
-        grid = np.ascontiguousarray(grid.T)
+        return np.ascontiguousarray(grid.T), order, np.searchsorted(-sizes[order], -np.arange(grid.shape[1]), "left")
+
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a symbol, and where a phrase ended before it."""
+        after = self.table.reshape(-1)[state * self.width + symbols]
+        stop = after < 0
+        return np.where(stop, self.restart[:, symbols], after), stop
+
+    def _parse(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of phrases of each piece in each language, and the state in which each ends."""
+        n, k = len(pieces), len(self.names)
+        grid, order, alive = self._grid(pieces)
         state = np.repeat(self.roots[:, None], n, axis=1)
         count = np.ones((k, n), np.int64)
-        flat, restart = self.table.reshape(-1), self.restart
-        alive = np.searchsorted(-ranked, -np.arange(len(grid)), "left")
         for j in range(len(grid)):
             m = alive[j]
-            s = grid[j, :m].astype(np.int64)
-            now = state[:, :m]
-            after = flat[now * self.width + s]
-            stop = after < 0
+            state[:, :m], stop = self._step(state[:, :m], grid[j, :m].astype(np.int64))
             count[:, :m] += stop
-            state[:, :m] = np.where(stop, restart[:, s], after)
-        out = np.empty((n, k), np.int64)
-        out[order] = count.T
-        return out
+        phrases, ends = np.empty((n, k), np.int64), np.empty((n, k), np.int64)
+        phrases[order], ends[order] = count.T, state.T
+        return phrases, ends
+
+    def _carried(self, pieces: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many phrases more each piece has that begins in the given states rather than with a new phrase, and its states at the end."""
+        grid, order, alive = self._grid(pieces)
+        more, out = np.zeros(starts.shape, np.int64), ends.copy()
+        lanes = np.arange(len(pieces))
+        true, root = starts[order].T.copy(), np.repeat(self.roots[:, None], len(pieces), axis=1)
+        change = np.zeros(true.shape, np.int64)
+        for j in range(len(grid) + 1):
+            over = len(lanes) and j < len(grid) and lanes[-1] < alive[j]
+            met = (true == root).all(0)
+            gone = met if j < len(grid) and over else met | (lanes >= (alive[j] if j < len(grid) else 0))
+            if gone.any():
+                left = lanes[gone]
+                more[order[left]] = change[:, gone].T
+                apart = ~met[gone]  # these end otherwise than they would after a new phrase
+                out[order[left[apart]]] = true[:, gone][:, apart].T
+                keep = ~gone
+                lanes, true, root, change = lanes[keep], true[:, keep], root[:, keep], change[:, keep]
+            if not len(lanes):
+                break
+            symbols = grid[j, lanes].astype(np.int64)
+            true, stop = self._step(true, symbols)
+            root, other = self._step(root, symbols)
+            change += stop.astype(np.int64) - other
+        return more - 1, out
+
+    def phrases(self, pieces: list[np.ndarray], goes_on: np.ndarray | None = None) -> np.ndarray:
+        """Number of phrases of each piece in each language; a piece that goes on begins in the state in which the one before it ends."""
+        found, alone = self._parse(pieces)
+        if goes_on is None or not goes_on.any():
+            return found
+        ends, total, done = alone.copy(), found.copy(), np.full(alone.shape, -1)
+        todo = np.flatnonzero(goes_on)
+        while len(todo):
+            starts = ends[todo - 1]
+            fresh = (done[todo] != starts).any(1)
+            todo, starts = todo[fresh], starts[fresh]
+            if not len(todo):
+                break
+            more, out = self._carried([pieces[i] for i in todo], starts, alone[todo])
+            total[todo], done[todo] = found[todo] + more, starts
+            moved = (ends[todo] != out).any(1)
+            ends[todo] = out
+            after = todo[moved] + 1
+            todo = after[(after < len(pieces))]
+            todo = todo[goes_on[todo]]
+        return total
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -139,15 +195,16 @@ class Parser:
         symbols = self.symbol[np.where(letters, whole, 32)]
         ends = np.cumsum(sizes)
         lettered = np.concatenate([[0], np.cumsum(letters)])
-        pieces, owner = [], []
+        pieces, owner, goes_on = [], [], []
         for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
             if lettered[b] > lettered[a]:
                 for c in range(int(a), int(b), PIECE):
                     pieces.append(symbols[c : min(c + PIECE, int(b))])
                     owner.append(i)
+                    goes_on.append(c > a)
         if not pieces:
             return names, scores
-        found = self.phrases(pieces)
+        found = self.phrases(pieces, np.array(goes_on))
         total = np.zeros((len(texts), len(self.names)))
         np.add.at(total, np.array(owner), found)
         cost = total * self.bits
@@ -171,7 +228,8 @@ def _kind(size: Column) -> Column:
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_chars: int = TRAIN_CHARS) -> dict[str, str]:
     """Labelled text per language, the most common language first, from rows that are not held out."""
     given = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("i is not null and lang is not null").where(~held_out(F.col("i")))
-    counts = {r[0]: r[1] for r in given.groupBy("lang").count().collect()}  # reads no text
+    counts = {r[0]: r[1] for r in given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}  # reads no text
+    given = given.where(F.col("lang").isin(list(counts)))
     parts: dict[str, list[str]] = {}
 
     def fill(kind: int, cut: dict[str, float], piece: dict[str, int]) -> None:

@@ -38,7 +38,6 @@ from orthoplex.llm import storage
 from orthoplex.llm.ranges import running
 
 MIN_WORDS = 50
-_SHIFT = 24  # lines of a document in a position
 _WORD = r"[^\x20\x09-\x0D]+"
 OUTPUT = ["n_lines", "n_deleted", "deleted_lines", "deduped_text"]
 
@@ -122,8 +121,10 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != text.lower()]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     base = storage.stored(wide.withColumn("rid", F.monotonically_increasing_id()), "documents")
     plain = storage.stored(_lines(base), "lines")
-    order = running(base.select("rid", "doc_id", F.xxhash64("text").alias("h")), [F.col("doc_id").asc_nulls_last(), F.col("h").asc(), F.col("rid").asc()], {})
-    lines = plain.join(order.select("rid", "place"), "rid").withColumn("pos", F.shiftleft("place", _SHIFT) + F.col("seq"))
+    sizes = plain.groupBy("rid").agg((F.count("*") + 1).alias("places"))  # and a place that no line has, which ends every run
+    ids = base.select("rid", "doc_id", F.xxhash64("text").alias("h")).join(sizes, "rid")
+    order = running(ids, [F.col("doc_id").asc_nulls_last(), F.col("h").asc(), F.col("rid").asc()], {"places": "before"})
+    lines = plain.join(order.select("rid", "before"), "rid").withColumn("pos", F.col("before") + F.col("seq"))
     lines = storage.stored(lines.select("rid", "no", "pos", "h1", "h2", "words"), "positions")
     gone = later_copies(lines.select("rid", "pos", "h1", "h2", "words"), min_words)
     marked = lines.select("rid", "no", "pos").join(gone.withColumn("gone", F.lit(True)), "pos", "left")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from orthoplex.llm import storage
 from orthoplex.llm.ranges import running
 
-FAN = 64
+FAN, SPAN = 64, 4096
 MAX_BROADCAST_SOURCES = 100_000
 OUTPUT = ["size", "source_size", "target", "taken"]
 
@@ -160,7 +160,8 @@ def plan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source:
     n_sources = targets.count()
     rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rates = rates.select("source", F.floor(F.col("rate") + 1e-9).alias("base"), F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + 1e-9)).alias("p"))
-    each = same.withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), "same"))).drop("same")
+    spans = same.withColumn("__span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("same") - 1) / SPAN))))  # so that no row holds a list as long as a group
+    each = spans.withColumn("no", F.explode(F.sequence(F.col("__span") * SPAN + 1, F.least("same", (F.col("__span") + 1) * SPAN)))).drop("same", "__span")
     rated = _with_source(each, rates, n_sources)
     open_ = (F.col("p") > 1e-9) & (F.col("size") > 0)
     unit = F.struct(F.xxhash64("doc_id", "mark", "no", F.lit(seed)).alias("h"), "doc_id", "mark", "size", "base")
@@ -172,16 +173,21 @@ def plan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it. Rows equal in id, source and text count as copies of one row."""
+    """``docs`` with every row repeated as often as the mix takes it. Rows equal in id, source and text count as copies of the one whose other columns hash least."""
     names = {k: how.get(k, v) for k, v in (("text", "text"), ("doc_id", "doc_id"), ("source", "source"))}
-    copies = plan(docs, **how).groupBy("doc_id", "source", "mark").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__same"))
-    copies = storage.stored(copies.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("mark").alias("__mark"), "__copies", "__same"), "copies")
-    marked = docs.withColumn("__text_mark", F.xxhash64(F.coalesce(F.col(names["text"]), F.lit(""))))
-    if (copies.agg(F.max("__same")).first()[0] or 0) > 1:
-        marked = marked.dropDuplicates([names["doc_id"], names["source"], "__text_mark"])
-    on = F.col(names["doc_id"]).eqNullSafe(F.col("__id")) & F.col(names["source"]).cast("string").eqNullSafe(F.col("__source")) & (F.col("__text_mark") == F.col("__mark"))
-    joined = marked.join(copies.where("__copies > 0"), on)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = "__mix"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    copies = plan(docs, **how).groupBy("doc_id", "source", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("same"))
+    copies = storage.stored(copies.select(*[F.col(c).alias(f"{own}_{c}") for c in ("doc_id", "source", "mark", "copies", "same")]), "copies")
+    marked = docs.withColumn(f"{own}_text", F.xxhash64(F.coalesce(F.col(names["text"]), F.lit(""))))
+    if (copies.agg(F.max(f"{own}_same")).first()[0] or 0) > 1:  # of equal ones the row whose other columns hash least
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = marked.groupBy(F.col(names["doc_id"]).alias(f"{own}_a"), F.col(names["source"]).alias(f"{own}_b"), F.col(f"{own}_text")).agg(F.min_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias(f"{own}_row"))
+        marked = one.select(f"{own}_row.*", f"{own}_text")
+    on = F.col(names["doc_id"]).eqNullSafe(F.col(f"{own}_doc_id")) & F.col(names["source"]).cast("string").eqNullSafe(F.col(f"{own}_source")) & (F.col(f"{own}_text") == F.col(f"{own}_mark"))
+    joined = marked.join(copies.where(F.col(f"{own}_copies") > 0), on)
+    return joined.withColumn(f"{own}_copy", F.explode(F.sequence(F.lit(1).cast("long"), f"{own}_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(planned: DataFrame) -> DataFrame:

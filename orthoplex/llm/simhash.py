@@ -11,7 +11,8 @@ keeps every connection and never grows with the square of a group.  Components
 come from rounds of large-star and small-star over the forests' edges.
 
 Bounds: the sample that shapes the tree has at most ``MAX_SAMPLE`` fingerprints
-(it decides balance only, never results); shards hold about ``shard_rows`` rows.
+(about; it decides balance only, never results); shards hold about ``shard_rows`` rows,
+more where a dense ball cannot be divided, which is then searched in linear time.
 
 Edge cases: a null or empty text, or one of white space, has fingerprint zero and
 links like any other; fewer than three words make one shingle; repeated rows get
@@ -185,6 +186,15 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
+def _within(reach: int) -> np.ndarray | None:
+    """All differences of 1 to ``reach`` bits; None where there are too many to look up each."""
+    if reach > 2:
+        return None
+    ones = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    a, b = np.triu_indices(64, 1)
+    return np.concatenate([ones[: 64 * (reach > 0)], *[ones[a] | ones[b]] * (reach > 1)])
+
+
 def link_within(points: np.ndarray, reach: int, seed: int = 11) -> np.ndarray:
     """For each of distinct sorted points the position of its component's least, within these points."""
     n = len(points)
@@ -201,6 +211,13 @@ def link_within(points: np.ndarray, reach: int, seed: int = 11) -> np.ndarray:
             todo += [(some[a], depth + 1), (some[b], depth + 1)]
             continue
         own = points[some]
+        masks = _within(reach)
+        if masks is not None and m > 2 * len(masks):  # a dense ball that no vantage point divides: looked up, in time linear in its size
+            for mask in masks:
+                place = np.minimum(np.searchsorted(own, own ^ mask), m - 1)
+                met = np.flatnonzero(own[place] == (own ^ mask))
+                forest.unite(some[met], some[place[met]])
+            continue
         for k in range(0, m, 256):
             near = np.bitwise_count(own[k : k + 256, None] ^ own[None, k:]) <= reach
             x, y = np.nonzero(near)
@@ -227,7 +244,8 @@ def links(distinct: DataFrame, *, distance: int = 2, shard_rows: int = 4096) ->
     n = distinct.count()
     shards = max(1, -(-n // shard_rows))
     size = min(MAX_SAMPLE, max(4096, 24 * shards))
-    sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
+    cut = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, size / max(1, n))))  # about ``size`` of them, by hash
+    sample = np.sort(distinct.select("fp").where(F.xxhash64("fp") <= cut).toArrow().column(0).to_numpy()).view(np.uint64)
     tree, _ = build_tree(sample, max(8, len(sample) // shards), distance) if shards > 1 else (0, 1)
     routed = distinct.select("fp").mapInArrow(lambda it: _route_batches(it, tree, distance), "shard int, fp long")
     # few bytes but much work each: dealt out by number, so that adaptive execution does not put many into one task

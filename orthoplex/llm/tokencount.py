@@ -9,7 +9,8 @@ most ``HOT_BYTES`` long, so the bound on what is broadcast is a product of two
 parameters) are taken from a bounded sample of documents and broadcast; the rest,
 about a twentieth of all occurrences of natural text, meet their counts in one
 shuffle by pre-token.  The sample decides which side a pre-token takes, never a
-count.  A pre-token in the shuffle is rare by construction, so no key is hot.
+count.  Long or unsampled pre-tokens in the shuffle may still be frequent; their side
+of the join is split by adaptive execution.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens); special tokens inside
 a text are matched as the library does by default, one token each; repeated rows
@@ -189,19 +190,22 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", keep: list[s
     """The ``keep`` columns (all but the text, if not given) of ``docs`` with n_bytes and n_tokens of each whole text."""
     docs = at.drop_clashing(docs, ["n_bytes", "n_tokens", "known", "rare", "times", "rid"])
     names = keep if keep is not None else [c for c in docs.columns if c.lower() != text.lower()]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias("__text"))
+    own = "__text"
+    while own in [c.lower() for c in names]:
+        own += "_"
+    docs = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias(own))
     text_at, kept = len(names), list(range(len(names)))
-    schema = docs.drop("__text").schema
+    schema = docs.drop(own).schema
     if not Library.at(path).byte_level:
         return docs.mapInArrow(lambda it: _whole(it, path, text_at, kept), schema.add("n_bytes", "long").add("n_tokens", "long"))
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(hot_pieces(docs, path, text="__text", hot=hot, sample_docs=sample_docs))
-    wide = docs.drop("__text").schema.add("n_bytes", "long").add("known", "long").add("rare", T.ArrayType(T.StringType())).add("times", T.ArrayType(T.IntegerType()))
+    held = spark.sparkContext.broadcast(hot_pieces(docs, path, text=own, hot=hot, sample_docs=sample_docs))
+    wide = docs.drop(own).schema.add("n_bytes", "long").add("known", "long").add("rare", T.ArrayType(T.StringType())).add("times", T.ArrayType(T.IntegerType()))
     mapped = docs.mapInArrow(lambda it: _known(it, path, held, text_at, kept), wide)
     known = storage.stored(mapped.withColumn("rid", F.monotonically_increasing_id()), "frequencies")
     rare = known.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("token"), F.col("x.times").alias("n"))
-    pieces = rare.select("token").distinct()
-    pieces = pieces.withColumn("pieces", _count_udf(path)("token"))
+    # written, so that the join meets plain exchanges on both sides and a token that many documents share can be split
+    pieces = storage.stored(rare.select("token").distinct().withColumn("pieces", _count_udf(path)("token")), "pieces")
     sums = rare.join(pieces, "token").groupBy("rid").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     out = known.drop("rare", "times").join(sums, "rid", "left")
     return out.select(*[F.col(f"`{c}`") for c in names], "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))

@@ -109,3 +109,17 @@ def test_running_places_and_sums(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.plan(documents(spark, corpus(7, 30)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_equal_rows_and_clashing_names(spark):
+    """Rows equal in id, source and text but not elsewhere: the same one is copied in every run, whatever the columns are called."""
+    rows = [(1, "a b c d", "en", "s")] * 30 + [(2, "e f", "en", "s")] * 3
+    docs = documents(spark, rows).withColumn("__mix_copies", F.monotonically_increasing_id() % 7).withColumn("__copy", F.lit(1)).withColumn("__text_mark", F.lit(2))
+    one = sorted(map(tuple, mixing.mix(docs).collect()))
+    assert one == sorted(map(tuple, mixing.mix(docs.repartition(5, "__mix_copies")).collect())) and mixing.mix(docs).columns == docs.columns and len({r[5] for r in one if r[0] == 1}) == 1
+
+
+def test_a_huge_group_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 7)
+    got = mixing.plan(documents(spark, [(1, "a b c", "en", "s")] * 500 + [(2, "x y", "en", "t")] * 40)).collect()
+    assert len(got) == 540 and sum(r.taken for r in got if r.doc_id == 1) == pytest.approx(got[0].target if got[0].doc_id == 1 else next(r.target for r in got if r.doc_id == 1), abs=3)

@@ -67,6 +67,52 @@ def test_parse_equals_a_plain_one():
             assert parser.phrases([symbols])[0, k] == phrases
 
 
+@pytest.mark.parametrize("piece", [1, 2, 5, 17])
+def test_pieces_lose_nothing(piece, monkeypatch):
+    """However a text is cut, its phrases are those of the whole."""
+    parser = langid.Parser({"a": "the cat sat on the mat and the cat ate the rat", "b": "der hund und die katze und der hund", "c": "x"})
+    rnd = random.Random(piece)
+    words = "the cat sat on mat and ate rat der hund und die katze zz".split()
+    texts = ["".join(rnd.choices("thecasonmdrku ", k=rnd.randint(1, 80))) if k % 2 else " ".join(rnd.choices(words, k=rnd.randint(1, 30))) for k in range(40)] + ["", "12", "the cat sat on the mat" * 3]
+    whole = [parser.predict([t]) for t in texts]
+    symbols = [parser.symbol[np.frombuffer(t.encode("utf-32-le"), np.uint32)] for t in texts if t]
+    want = parser.phrases(symbols)
+    pieces = [x[c : c + piece] for x in symbols for c in range(0, len(x), piece)]
+    goes_on = np.array([c > 0 for x in symbols for c in range(0, len(x), piece)])
+    owner = np.array([i for i, x in enumerate(symbols) for _ in range(0, len(x), piece)])
+    got = np.zeros_like(want)
+    np.add.at(got, owner, parser.phrases(pieces, goes_on))
+    assert np.array_equal(got, want)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    assert [parser.predict([t]) for t in texts] == whole and parser.predict(texts) == tuple([w[k][0] for w in whole] for k in (0, 1))
+
+
+def test_a_brute_force_identifier_agrees(spark):
+    """The whole query on a small table against parses with plain string search."""
+    rows = languages(9, 60) + [(900, "Der HUND und 12 die Katze!", "de"), (901, "", None)]
+    docs = documents(spark, rows)
+    learnt = langid.learn(docs)
+    texts = {n: "".join(c if c.isalpha() else " " for c in t.lower()) for n, t in learnt.items()}
+
+    def cost(text, source):
+        phrases, run = 1, ""
+        for c in text:
+            if run + c in source:
+                run += c
+            else:
+                phrases, run = phrases + 1, c if c in source else ""
+        return phrases * np.log2(max(2, len(source)))
+
+    for r in langid.digest(langid.identify(docs, docs)).collect():
+        text = "".join(c if c.isalpha() else " " for c in next(t for i, t, _ in rows if i == r.doc_id).lower())
+        costs = {n: cost(text, source) for n, source in texts.items()}
+        want = min(costs, key=lambda n: costs[n]) if text.strip() else "und"
+        assert r.lang_pred == want
+        if want != "und":
+            best, second = sorted(costs.values())[:2]
+            assert r.score == pytest.approx(second / (second + best))
+
+
 def toxic_rows(seed, n=240):
     rnd = random.Random(seed)
     words = [f"word{k}" for k in range(150)]

@@ -102,3 +102,22 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {k: 1 for k in range(1, 201)} | {500: 500, 501: 500}
+
+
+def test_a_dense_ball_is_linked_in_linear_time():
+    """All fingerprints within three bits of a centre: no vantage point divides them, and every one has links."""
+    from itertools import combinations
+
+    points = np.unique(np.array([sum(1 << b for b in some) for k in range(4) for some in combinations(range(64), k)], np.uint64) ^ np.uint64(0x123456789ABCDEF))
+    far = np.unique(np.concatenate([points, np.array([0xFFFF0000FFFF0000], np.uint64)]))
+    roots = simhash.link_within(far, 2)
+    assert len(far) == 43746 and len(np.unique(roots)) == 2 and np.array_equal(roots[np.searchsorted(far, points)], np.full(len(points), np.searchsorted(far, points[0])))
+
+
+def test_a_dense_ball_through_links(spark):
+    from itertools import combinations
+
+    points = [sum(1 << b for b in some) for k in range(3) for some in combinations(range(64), k)]
+    edges = simhash.links(spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long"), shard_rows=100)
+    found = simhash.components(edges).collect()
+    assert len(found) == len(points) and len({r.root for r in found}) == 1
