@@ -134,6 +134,44 @@ def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
 
 
+_MASK_OF = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_keys(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first sixteen bytes of each word as two numbers; longer words have all ones and a number of their own."""
+    size = ends - begins
+    padded = np.concatenate([data, np.zeros(24, np.uint8)])
+    eight = np.ndarray(len(data) + 16, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    a = eight[begins] & _MASK_OF[np.minimum(size, 8)]
+    b = eight[np.minimum(begins + 8, len(data))] & _MASK_OF[np.clip(size - 8, 0, 8)]
+    seen: dict[bytes, int] = {}
+    for k in np.flatnonzero(size > 16).tolist():
+        a[k], b[k] = np.uint64(_MASK), seen.setdefault(data[begins[k] : ends[k]].tobytes(), len(seen))
+    return a, b
+
+
+def word_ids(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each different word, from its keys and its size (a word may end in zero bytes); no hash decides."""
+    order = np.lexsort((np.minimum(size, 17), b, a))
+    fresh = np.zeros(len(order), bool)
+    x, y, z = a[order], b[order], np.minimum(size, 17)[order]
+    fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
+def triples(ids: np.ndarray) -> np.ndarray:
+    """A number for each run of three ids, equal where all three are."""
+    if len(ids) < 3:
+        return np.empty(0, np.int64)
+    n = int(ids.max()) + 1
+    pairs = ids[:-2] * n + ids[1:-1]
+    if n >= 1 << 21:
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    return pairs * n + ids[2:]
+
+
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n consecutive word hashes (runs may cross texts; the caller masks those)."""
     m = len(hashes) - n + 1

@@ -3,13 +3,16 @@
 A linear-chain conditional random field over the lines of a text (those with a
 word) sees about twenty indicator features of each line; Viterbi decoding marks
 every line, and the share of words that stand in content lines decides whether a
-text is kept.  The field is trained on labelled documents, whose label holds for
-each of their lines: lines that look alike in good and bad documents come out as
-content, and the chain's transitions carry the evidence of neighbours.
+text is kept.  The field is trained on labelled documents: a bad document's lines are
+boilerplate, a good one's are content but for notices and for lines that several
+different documents of the sample share (headers, footers, licences), so that
+training sequences change label and the chain's transitions carry the evidence of
+neighbours.  Equal lines and words are told by their bytes, not by hashes.
 
 Everything is one map over the documents without a shuffle; the field is a few
 dozen numbers.  Bounds: at most ``max_labelled`` labelled documents of each class
-with at most ``TRAIN_LINES`` lines train it (least hashes of their ids).
+train it (least hashes of ids and texts), in stretches of at most ``TRAIN_LINES``
+lines, at most ``STRETCHES`` of a document.
 
 Edge cases: a null, empty or wordless text has zero counts and fails the base
 rules; null labels teach nothing; without labels of both classes every line is
@@ -27,8 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orthoplex.llm import arrowtext as at
+from orthoplex.llm.toxicity import labelled_sample
 
-MAX_LABELLED, TRAIN_LINES, CONTENT_SHARE = 1500, 80, 0.5
+MAX_LABELLED, TRAIN_LINES, STRETCHES, CONTENT_SHARE = 1500, 80, 4, 0.5
+
+#: Documents with different first lines that share a line make it boilerplate.
+SHARED_BY = 3
 
 #: Share of the training weight that good documents have: a lost good text costs more than a kept bad one.
 CLEAN_WEIGHT = 0.85
@@ -39,7 +46,13 @@ _DIGIT, _BANG, _STOP = at.table(range(48, 58)), at.table(b"!"), at.table(b".!?:;
 _NOTICES = b"license licensed license, license. copyright cookie cookies rights reserved reserved. subscribe login javascript privacy terms".split()
 _NOTICES += [w.capitalize() for w in _NOTICES]
 _N = np.concatenate([[0], np.cumsum([len(w) for w in _NOTICES])])
-NOTICE = at.span_hashes(np.frombuffer(b"".join(_NOTICES), np.uint8), _N[:-1], _N[1:])
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return at.mix(a + at.mix(b))
+
+
+NOTICE = _key(*at.word_keys(np.frombuffer(b"".join(_NOTICES), np.uint8), _N[:-1], _N[1:]))
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 N_FEATURES = 20
@@ -70,12 +83,13 @@ class Lines:
         worded = first < after
         starts, stops, first, after = starts[worded], stops[worded], first[worded], after[worded]
         self.line_doc = of[first] if len(first) else np.empty(0, np.int64)
-        hashes = at.span_hashes(data, starts, stops)
-        again = _earlier(self.line_doc, hashes)
+        again = _repeated_lines(data, self.line_doc, starts, stops)
+        self.starts, self.stops = starts, stops
         self.n_dup_lines = np.bincount(self.line_doc[again], minlength=n)[:n] if len(first) else np.zeros(n, np.int64)
 
-        word = at.span_hashes(data, begins, ends)
-        grams = at.ngram_hashes(word, 3)
+        a, b = at.word_keys(data, begins, ends)
+        word = at.word_ids(a, b, ends - begins)
+        grams = at.triples(word)
         valid = np.flatnonzero(of[:-2] == of[2:]) if len(of) > 2 else np.empty(0, np.int64)
         covered = np.zeros(len(begins) + 1, np.int32)
         if len(valid):
@@ -87,10 +101,10 @@ class Lines:
         self.n_repeat_words = repeats[bounds[1:]] - repeats[bounds[:-1]]
 
         self.words = after - first
-        self.features = self._features(data, starts, stops, first, after, begins, ends, word, repeats, again)
+        self.features = self._features(data, starts, stops, first, after, begins, ends, word, np.isin(_key(a, b), NOTICE), repeats, again)
         self.bounds = np.searchsorted(self.line_doc, np.arange(n + 1))
 
-    def _features(self, data, starts, stops, first, after, begins, ends, word, repeats, again) -> np.ndarray:
+    def _features(self, data, starts, stops, first, after, begins, ends, word, noted, repeats, again) -> np.ndarray:
         m = len(first)
         w = np.maximum(after - first, 1).astype(np.float64)
 
@@ -103,7 +117,7 @@ class Lines:
         line = np.repeat(np.arange(m), after - first)
         own = np.concatenate([np.arange(a, b) for a, b in zip(first, after, strict=True)]) if m else np.empty(0, np.int64)
         distinct = _distinct(line, word[own], m) / w
-        notices = np.bincount(line[np.isin(word[own], NOTICE)], minlength=m)[:m] if m else np.empty(0)
+        notices = np.bincount(line[noted[own]], minlength=m)[:m] if m else np.empty(0)
         repeated = (repeats[after] - repeats[first]) / w
         size = (ends[np.maximum(after - 1, 0)] - begins[first]) / w if m else np.empty(0)
         closing = _STOP[data[ends[after - 1] - 1]] if m else np.empty(0, bool)
@@ -113,6 +127,20 @@ class Lines:
         ]).astype(np.float64).reshape(m, N_FEATURES)
 
 
+def _repeated_lines(data: np.ndarray, doc: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether an equal line of the same text stands before."""
+    out, whole = np.zeros(len(doc), bool), data.tobytes()
+    seen: set[bytes] = set()
+    last = -1
+    for k, (d, i, j) in enumerate(zip(doc.tolist(), starts.tolist(), stops.tolist(), strict=True)):
+        if d != last:
+            seen, last = set(), d
+        line = whole[i:j]
+        out[k] = line in seen
+        seen.add(line)
+    return out
+
+
 def _order(group: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.lexsort((hashes, group))
 
@@ -175,24 +203,29 @@ class Field:
         return out
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, steps: int = 160, l2: float = 2e-3, rate: float = 0.08) -> Field:
-    """Maximum conditional likelihood by Adam; every line of a document has its label."""
+def train(features: list[np.ndarray], labels, steps: int = 160, l2: float = 2e-3, rate: float = 0.08) -> Field:
+    """Maximum conditional likelihood by Adam, from the features of documents and the labels of their lines (one for all of them, or an array)."""
     start = Field(np.eye(N_FEATURES)[0], np.zeros((2, 2)))
-    if not len(labels) or labels.min() == labels.max():
+    truth = [np.broadcast_to(np.asarray(y, np.int64), len(f)) for f, y in zip(features, labels, strict=True)]
+    packed_y = np.concatenate(truth) if truth else np.empty(0, np.int64)
+    if not len(packed_y) or packed_y.min() == packed_y.max():
         return start
-    n, longest = len(labels), max(len(f) for f in features)
-    x = np.zeros((n, longest, N_FEATURES))
-    for i, f in enumerate(features):
-        x[i, : len(f)] = f
-    size = np.array([len(f) for f in features])
+    n, size = len(features), np.array([len(f) for f in features])
+    longest = int(size.max())
+    x = np.concatenate(features).astype(np.float32)
     mask = np.arange(longest) < size[:, None]
-    y = labels.astype(np.int64)
-    share = np.where(y == 1, CLEAN_WEIGHT / max(1, (y == 1).sum()), (1 - CLEAN_WEIGHT) / max(1, (y == 0).sum())) / size
+    y = np.zeros((n, longest), np.int64)
+    y[mask] = packed_y
+    good = np.array([t.mean() >= 0.5 for t in truth])
+    share = np.where(good, CLEAN_WEIGHT / max(1, good.sum()), (1 - CLEAN_WEIGHT) / max(1, (~good).sum())) / size
+    each = np.repeat(share, size)
     theta = np.concatenate([start.weights * 0.5, np.zeros(4)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    both = mask[:, 1:] * share[:, None]
     for step in range(1, steps + 1):
         moves = theta[N_FEATURES:].reshape(2, 2)
-        gain = x @ theta[:N_FEATURES]
+        gain = np.zeros((n, longest))
+        gain[mask] = x @ theta[:N_FEATURES].astype(np.float32)
         e = np.stack([np.zeros_like(gain), gain], 2)
         alpha = np.empty((n, longest, 2))
         beta = np.zeros((n, longest, 2))
@@ -205,14 +238,13 @@ def train(features: list[np.ndarray], labels: np.ndarray, steps: int = 160, l2:
             ahead = e[:, t + 1] + beta[:, t + 1]
             new = np.logaddexp(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
             beta[:, t] = np.where(mask[:, t + 1, None], new, 0.0)
-        p1 = np.exp(alpha[..., 1] + beta[..., 1] - z[:, None]) * mask
-        slope = np.einsum("nt,ntf->f", (y[:, None] * mask - p1) * share[:, None], x)
+        p1 = np.exp(alpha[..., 1] + beta[..., 1] - z[:, None])
+        slope = ((packed_y - p1[mask]) * each) @ x
         joint = np.zeros((2, 2))
-        both = mask[:, 1:] * share[:, None]
         for i in (0, 1):
             for j in (0, 1):
                 q = np.exp(np.minimum(alpha[:, :-1, i] + moves[i, j] + e[:, 1:, j] + beta[:, 1:, j] - z[:, None], 0.0))
-                joint[i, j] = ((y[:, None] == i) * (i == j) * both).sum() - (q * both).sum()
+                joint[i, j] = ((y[:, :-1] == i) * (y[:, 1:] == j) * both).sum() - (q * both).sum()
         g = np.concatenate([slope, joint.reshape(-1)]) - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -220,26 +252,40 @@ def train(features: list[np.ndarray], labels: np.ndarray, steps: int = 160, l2:
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, quality -> quality, features of its lines as one list."""
+    """text, quality -> quality, features of its lines as one list, hashes of its lines."""
     for batch in batches:
         raw, offsets = at.utf8(batch.column(0))
-        lists = []
+        lists, marks = [], []
         for i, j in at.chunks(offsets):
-            found = Lines(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            lists += [found.features[a:b].astype(np.int8).reshape(-1) for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int8()))], ["quality", "found"])
+            data = raw[offsets[i] : offsets[j]]
+            found = Lines(data, offsets[i : j + 1] - offsets[i])
+            lines = at.span_hashes(data, found.starts, found.stops).view(np.int64)
+            for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True):
+                b = min(b, a + STRETCHES * TRAIN_LINES)
+                lists.append(found.features[a:b].astype(np.int8).reshape(-1))
+                marks.append(lines[a:b])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int8())), pa.array(marks, pa.list_(pa.int64()))], ["quality", "found", "marks"])
+
+
+def line_labels(quality: list[int], features: list[np.ndarray], marks: list[np.ndarray]) -> list[np.ndarray]:
+    """Labels of the lines of sampled documents: those of a good one are content, but for notices and for what documents share that begin differently."""
+    heads: dict[int, set] = {}
+    for lines in marks:
+        for x in set(lines.tolist()):
+            if len(own := heads.setdefault(x, set())) < SHARED_BY:
+                own.add(int(lines[0]))
+    return [np.array([int(q == 1 and f[k, -1] == 0 and len(heads[x]) < SHARED_BY) for k, x in enumerate(lines.tolist())], np.int64) for q, f, lines in zip(quality, features, marks, strict=True)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED) -> Field:
-    given = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("quality")).where(F.col("__id").isNotNull() & F.col("quality").isin(0, 1))
-    picked = given.where("quality = 1").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled).unionByName(given.where("quality = 0").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))
-    rows = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))  # at most 2 * max_labelled rows
-    schema = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("found", T.ArrayType(T.ByteType()))])
-    table = rows.select("text", "quality").mapInArrow(_collect, schema).toArrow()
-    pairs = [(int(q.as_py()), f.values.to_numpy().reshape(-1, N_FEATURES)) for q, f in zip(table.column(0), table.column(1), strict=True) if f.is_valid]
-    pairs = [(q, f) for q, f in pairs if 0 < len(f) <= TRAIN_LINES]
-    pairs.sort(key=lambda p: (p[0], len(p[1]), p[1].tobytes()))  # rows come in any order
-    return train([f for _, f in pairs], np.array([q for q, _ in pairs], np.int64))
+    rows, _ = labelled_sample(docs, labels, text=text, doc_id=doc_id, label=label, max_labelled=max_labelled)
+    schema = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("found", T.ArrayType(T.ByteType())), T.StructField("marks", T.ArrayType(T.LongType()))])
+    table = rows.mapInArrow(_collect, schema).toArrow()
+    triples = [(int(q.as_py()), f.values.to_numpy().reshape(-1, N_FEATURES), x.values.to_numpy()) for q, f, x in zip(*(table.column(k) for k in range(3)), strict=True) if len(x.values)]
+    triples.sort(key=lambda p: (p[0], len(p[1]), p[1].tobytes(), p[2].tobytes()))  # rows come in any order
+    each = line_labels(*([p[k] for p in triples] for k in range(3)))
+    cuts = [(f[a : a + TRAIN_LINES], y[a : a + TRAIN_LINES]) for (_, f, _), y in zip(triples, each, strict=True) for a in range(0, len(f), TRAIN_LINES)]
+    return train([f for f, _ in cuts], [y for _, y in cuts])
 
 
 def _judge(batches: Iterator[pa.RecordBatch], shared, text_at: int) -> Iterator[pa.RecordBatch]:

@@ -48,7 +48,6 @@ _KIND[[*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100
 _KIND[[*range(48, 58), 0xB2, 0xB3, 0xB9, *range(0xBC, 0xBF)]] = 2  # numbers, each a word of its own
 _LOWER = bytes(ord(chr(c).lower()) if c not in (0xD7,) and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256))
 _SHORT, _TWO = at.table(b"stmd"), {b"re", b"ve", b"ll"}
-_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def split_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +122,7 @@ class Encoder:
     """Token ids of texts, looking up each distinct word where that is exact.
 
     It is where the tokenizer lower-cases and splits by the pattern above, and the
-    text has neither characters beyond U+00FF nor added tokens; else the library
+    text has neither characters beyond U+00FF, zero bytes nor added tokens; else the library
     encodes the whole text.  Words are found and looked up by array operations; the
     library sees those that no earlier text of the worker had.
     """
@@ -189,16 +188,8 @@ class Encoder:
         """Ids of the words of some bytes; where the words begin, and how many ids stand before each and in all."""
         begins, ends = split_words(data)
         size = ends - begins
-        padded = np.concatenate([data, np.zeros(24, np.uint8)])
-        eight = np.ndarray(len(data) + 16, "<u8", padded, strides=(1,))  # the eight bytes from each place on
-        a = eight[begins] & _MASK[np.minimum(size, 8)]
-        b = eight[np.minimum(begins + 8, len(data))] & _MASK[np.clip(size - 8, 0, 8)]
+        a, b = at.word_keys(data, begins, ends)
         h = at.mix(a + at.mix(b ^ np.uint64(0x9E3779B97F4A7C15)))
-        long = np.flatnonzero(size > 16)
-        seen: dict[bytes, int] = {}
-        for k in long.tolist():  # told apart by a number each: no word has 16 bytes of ones
-            a[k], b[k] = np.uint64((1 << 64) - 1), seen.setdefault(data[begins[k] : ends[k]].tobytes(), len(seen))
-        h[long] = b[long]
         order = np.argsort(h, kind="stable")
         fresh = np.ones(len(order), bool)
         hs, as_, bs = h[order], a[order], b[order]
@@ -238,7 +229,7 @@ class Encoder:
         whole: list[int] = []
         for i, text in enumerate(texts):
             plain = None
-            if self.by_word and not any(x in text for x in self.added):
+            if self.by_word and "\0" not in text and not any(x in text for x in self.added):
                 try:
                     plain = text.encode("latin-1")
                 except UnicodeEncodeError:

@@ -93,3 +93,59 @@ def test_training_gradient_fits_a_simple_field():
         labels.append(1 - k % 2)
     field = quality.train(docs, np.array(labels))
     assert all(field.decode(x, np.array([0, len(x)])).mean() == y for x, y in zip(docs, labels, strict=True))
+
+
+def test_equality_is_by_bytes():
+    """Lines and words on which polynomial hashes modulo 2**64 collide whatever their base."""
+    def thue_morse(n, a, b):
+        return "".join(b if k.bit_count() & 1 else a for k in range(n))
+
+    one, two = "x" + thue_morse(4096, "a", "b") + "y", "x" + thue_morse(4096, "b", "a") + "y"
+    text = f"{one}\n{two}\n{one} q r {two} q r"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    found = quality.Lines(raw, np.array([0, len(raw)]))
+    assert (found.n_dup_lines[0], found.n_repeat_words[0]) == base(text)[3:] == (0, 0)
+    zeros = "a a\0 a\0\0 a a\0 a\0 a a a"
+    raw = np.frombuffer(zeros.encode(), np.uint8)
+    assert quality.Lines(raw, np.array([0, len(raw)])).n_repeat_words[0] == base(zeros)[4]
+
+
+def mixed_corpus(seed):
+    rnd = random.Random(seed)
+    words = [f"w{k}" for k in range(150)] + ["the", "and", "of"] * 10
+    footer = ["All rights reserved. Licensed under the usual terms", "Subscribe | Login | Privacy | Terms", "Back to the list of pages"]
+    rows, labels = [], []
+    for k in range(90):
+        good = k % 3 > 0
+        lines = [" ".join(rnd.choices(words, k=rnd.randint(12, 25))) + "." for _ in range(rnd.randint(3, 6))] if good else ["%%% ".join(rnd.choices(words, k=14)).upper() + "!!!" for _ in range(4)]
+        rows.append((k, "\n".join(lines + footer * (good and k % 2))))
+        labels.append((k, int(good), 0))
+    return rows, labels, footer
+
+
+def test_a_footer_under_good_text_is_boilerplate(spark):
+    rows, labels, footer = mixed_corpus(4)
+    field = quality.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    text = next(t for i, t in rows if i == 31)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    lines = quality.Lines(raw, np.array([0, len(raw)]))
+    marks = field.decode(lines.features, lines.bounds).tolist()
+    assert marks[-2:] != [1, 1] and 0 in marks[-3:] and marks[:-3] == [1] * (len(marks) - 3) and len(set(marks)) == 2
+
+
+def test_the_whole_query_equals_a_plain_one(spark):
+    """Counts from the text, and the verdict from the best of all labellings under the learnt field."""
+    rows, labels, _ = mixed_corpus(6)
+    docs, given = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    field = quality.learn(docs, given)
+    for r in quality.digest(quality.judge(docs, given)).collect():
+        text = next(t for i, t in rows if i == r.doc_id)
+        assert base(text) == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        lines = quality.Lines(raw, np.array([0, len(raw)]))
+        gain = lines.features @ field.weights
+        best = max(product((0, 1), repeat=len(gain)), key=lambda y: sum(g for g, k in zip(gain, y, strict=True) if k) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+        words = [len(WORD.findall(x)) for x in text.split("\n")]
+        share = sum(w for w, k in zip(words, best, strict=True) if k) / sum(words)
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert r.content_share == pytest.approx(share) and r.base_failed == failed and r.kept == (not failed and share >= 0.5)
