@@ -7,15 +7,16 @@ that are neighbours in the page, and blocks that share a parent element, are tie
 by smoothness edges, the tighter the nearer they stand in the tree.  The minimum
 cut, found by maximum flow, is the labelling of least total cost.
 
-The classifier is trained on a bounded sample of about ``TRAIN_PAGES`` pages: blocks
+The classifier is trained on at most ``TRAIN_PAGES`` different pages of at most
+``TRAIN_BYTES`` (least hashes of id and html): blocks
 inside the primary article are examples of content, those below navigation, footer,
 form, advert, notice or comment elements examples of boilerplate; structural
 features are hidden from half the examples so that text features learn too, and
 weights stay near a prior where the sample says nothing.
 
 Edge cases: null and empty html give the empty text, as do pages without content;
-unclosed and stray tags, comments and attributes are tolerated; nothing is cut off,
-however long; repeated rows are extracted each; columns named text or n_chars are
+unclosed and stray tags, comments and attributes are tolerated, in time linear in the
+page; nothing is cut off, however long; the text of formulas stays; repeated rows are extracted each; columns named text or n_chars are
 replaced.
 """
 
@@ -34,16 +35,17 @@ from pyspark.sql import types as T
 
 from orthoplex.llm import arrowtext as at
 
-TRAIN_PAGES = 400
+TRAIN_PAGES, TRAIN_BYTES = 400, 200_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_JUMP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 # Element names of HTML.
 RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "head"}
-UNSEEN = {"noscript", "template", "svg", "math", "object", "audio", "video", "canvas", "select"}
+UNSEEN = {"noscript", "template", "svg", "object", "audio", "video", "canvas", "select", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -62,28 +64,44 @@ AWAY_TAGS = {"nav", "aside", "footer", "form", "dialog", "menu", "button", "labe
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 AWAY_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar "
-    "widget footer masthead toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search share sharing social "
-    "related recommended recommendations comment comments commentlist disqus respond replies reply reviews copyright legal disclaimer skip dropdown outbrain taboola teaser teasers".split()
+    "widget footer masthead toolbar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login sharing social "
+    "related recommended recommendations comment comments commentlist disqus respond replies copyright disclaimer skip dropdown outbrain taboola".split()
 )
+#: These count only where no other word of the name speaks for an article.
+WEAK_NAMES = set("notice alert legal search share reply reviews teaser teasers".split())
+#: What may stand beside a name without changing what it says.
+PLAIN_NAMES = set("area bar block bottom box button buttons container content form group holder inner item items left links list main outer page panel right row section site slot text top wrap wrapper".split())
 CONTENT_NAMES = set("article content main post entry body story text page".split())
 RIGHTS = re.compile(r"©|copyright|all rights reserved", re.I)
 
 
+def speaks_of_boilerplate(name: str) -> bool:
+    """Whether a class or an id names boilerplate: its last word does, or all of its words do but for plain ones."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    if not parts:
+        return False
+    known = AWAY_NAMES | WEAK_NAMES
+    if not (parts[-1] in known or (any(p in known for p in parts) and all(p in known or p in PLAIN_NAMES for p in parts))):
+        return False
+    return not AWAY_NAMES.isdisjoint(parts) or not (CONTENT_NAMES - PLAIN_NAMES).intersection(parts)
+
+
 class Element:
-    __slots__ = ("tag", "parent", "depth", "away", "away_name", "fits", "size", "hidden")
+    __slots__ = ("tag", "parent", "depth", "away", "away_name", "fits", "size", "hidden", "primary", "seen")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str) -> None:
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.away = tag in AWAY_TAGS
-        self.away_name = self.fits = self.hidden = False
+        self.away_name = self.fits = self.hidden = self.primary = False
         self.size = 0
+        self.seen: tuple | None = None
         if attributes and tag not in ("html", "body"):
             for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
-                    parts = {p.lower() for p in _PART.findall(value)}
-                    self.away_name |= not parts.isdisjoint(AWAY_NAMES)
-                    self.fits |= not parts.isdisjoint(CONTENT_NAMES)
+                    for word in value.split():
+                        self.away_name |= speaks_of_boilerplate(word)
+                        self.fits |= not CONTENT_NAMES.isdisjoint(p.lower() for p in _PART.findall(word))
                 elif name == "role":
                     self.away |= value.lower() in AWAY_ROLES
                     self.fits |= value.lower() in ("main", "article")
@@ -98,13 +116,66 @@ class Block:
         self.text, self.element, self.linked = text, element, linked
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str | None, str]]:
+    """(begin, end, slash, tag, attributes) of the tags of a page, the tag None for comments and declarations; each place is read a bounded number of times.
+
+    A tag ends at the first > outside quotes; where a quote is never closed, at the
+    first > at all, and from there on quotes are not heeded.  What has no > is text.
+    The caller may send the place to go on from.
+    """
+    at_, n, heed = 0, len(page), True
+    last_quote = {q: page.rfind(q) for q in "\"'"}
+    last_end = page.rfind(">")
+    while True:
+        begin = page.find("<", at_)
+        if begin < 0:
+            return
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            skip = yield begin, n if end < 0 else end + 3, "", None, ""
+            at_ = (n if end < 0 else end + 3) if skip is None else skip
+            continue
+        if begin > last_end:
+            return
+        head = _TAG.match(page, begin + 1)
+        if not head:
+            if page[begin + 1 : begin + 2] in ("!", "?"):
+                end = page.find(">", begin) + 1
+                skip = yield begin, end, "", None, ""
+                at_ = end if skip is None else skip
+            else:
+                at_ = begin + 1
+            continue
+        stop = -1
+        if heed:
+            place = head.end()
+            while (m := _JUMP.search(page, place)) is not None:
+                if m.group() == ">":
+                    stop = m.start()
+                    break
+                if m.start() >= last_quote[m.group()]:
+                    heed = False
+                    break
+                place = page.find(m.group(), m.end()) + 1
+            heed &= stop >= 0
+        if stop < 0:
+            stop = page.find(">", head.end())
+        if stop < 0:
+            return
+        skip = yield begin, stop + 1, head.group(1), head.group(2), page[head.end() : stop]
+        at_ = stop + 1 if skip is None else skip
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, without raw elements and markup."""
     root = Element("#root", None, "")
     here, out = root, []
+    elements = [root]
     pieces: list[str] = []
     linked, links, unseen, block = 0, 0, 0, root
+    open_: dict[str, int] = {}  # how many elements of each name are open: where none is, none is looked for
     last: dict[str, int] = {}  # where the last end tag of an unseen element begins
+    body = [-2]
 
     def never_closed(tag: str, start: int) -> bool:
         if tag not in last:
@@ -117,67 +188,41 @@ def blocks_of(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
                 out.append(Block(text, block, min(linked, len(text))))
-                up = block
-                while up is not None:
-                    up.size += len(text)
-                    up = up.parent
+                block.size += len(text)
             pieces.clear()
         linked = 0
 
     def close_to(target: Element) -> None:
         nonlocal here, links, unseen
         while here is not target.parent:
+            open_[here.tag] -= 1
             if here.tag in UNSEEN:
                 unseen -= 1
             if here.tag == "a":
                 links = max(0, links - 1)
             here = here.parent
 
-    at_, n = 0, len(page)
-    for m in iter(lambda: _TOKEN.search(page, at_), None):
-        if m.start() > at_ and not unseen:
-            pieces.append(page[at_ : m.start()])
-            if links:
-                linked += m.start() - at_
-        at_ = m.end()
-        closing, tag = m.group(1), m.group(2)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            pieces.append(" ")
-            continue
-        if tag in UNSEEN and not closing and (m.group(3).endswith("/") or never_closed(tag, at_)):
-            continue  # without content, rather than the rest of the page as content
-        if tag in RAW and not closing:
-            if m.group(3).endswith("/") and unseen:
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at_)
-            if tag == "head" and not end:
-                end = re.compile(r"(?=<body)", re.I).search(page, at_)
-                if not end:
-                    continue
-            at_ = end.end() if end else n
-            continue
+    def take(tag: str, closing: str, attributes: str) -> None:
+        nonlocal here, links, unseen, block
         covered = unseen
         if tag in BLOCK and not unseen:
             flush()
         if closing:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
+            if open_.get(tag):
+                up = here
+                while up.tag != tag:
+                    up = up.parent
                 close_to(up)
             if tag in BLOCK and covered and not unseen:
                 flush()
         elif tag not in VOID:
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_.get("p"):
                 up = here
                 while up is not root and up.tag not in UNSEEN and up.tag not in ("p", "td", "th", "button", "div", "section", "article", "li", "blockquote", "aside"):
                     up = up.parent
                 if up.tag == "p":
                     close_to(up)
-            if tag in IMPLIED:
+            if tag in IMPLIED and any(open_.get(x) for x in IMPLIED[tag][0]):
                 ends, stops = IMPLIED[tag]
                 up = here
                 while up is not root and up.tag not in stops and up.tag not in UNSEEN:
@@ -186,20 +231,61 @@ def blocks_of(page: str) -> list[Block]:
                         up = here
                         continue
                     up = up.parent
-            here = Element(tag, here, m.group(3))
+            here = Element(tag, here, attributes)
+            elements.append(here)
+            open_[tag] = open_.get(tag, 0) + 1
             if tag == "a":
                 links += 1
             if tag in UNSEEN:
                 unseen += 1
-            if m.group(3).endswith("/") and tag not in BLOCK:
+            if attributes.endswith("/") and tag not in BLOCK:
                 close_to(here)
         if tag in BLOCK and not unseen:
             block = here
             while block.tag not in BLOCK and block.parent is not None:
                 block = block.parent
+
+    at_, n = 0, len(page)
+    tokens = _tokens(page)
+    token = next(tokens, None)
+    while token is not None:
+        begin, end, closing, tag, attributes = token
+        if begin > at_ and not unseen:
+            pieces.append(page[at_:begin])
+            if links:
+                linked += begin - at_
+        at_ = end
+        tag = tag.lower() if tag else None
+        if tag == "br":
+            pieces.append(" ")
+        elif tag in UNSEEN and not closing and (attributes.endswith("/") or never_closed(tag, at_)):
+            pass  # without content, rather than the rest of the page as content
+        elif tag in RAW and not closing:
+            if attributes.endswith("/") and unseen:
+                pass
+            elif never_closed(tag, at_):
+                if tag == "head":
+                    if body[0] == -2:
+                        found = re.search(r"<body", page, re.I)
+                        body[0] = found.start() if found else -1
+                    at_ = max(at_, body[0])
+                else:
+                    at_ = n
+            else:
+                at_ = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at_).end()
+        elif tag is not None:
+            take(tag, closing, attributes)
+        try:
+            token = tokens.send(at_)
+        except StopIteration:
+            token = None
     if at_ < n and not unseen:
         pieces.append(page[at_:])
     flush()
+    for e in reversed(elements):  # children stand after their parents
+        if e.parent is not None:
+            e.parent.size += e.size
+    _inherit(elements)
     return out
 
 
@@ -208,22 +294,28 @@ PRIOR = np.array([-0.6, 1.2, -2.5, 0.8, 0.8, -0.6, 0.8, 0.4, -0.5, 4.5, -10.0, -
 _STRUCTURE = slice(9, 13)
 
 
-def _row(block: Block, k: int, n: int, primary: set[int]) -> tuple[list[float], int]:
+def _inherit(elements: list[Element]) -> None:
+    """What the blocks of an element inherit from its ancestors: inside the primary article, away, named, fits, in an article, in a header."""
+    best = None
+    for e in elements:
+        if e.tag in ("article", "main") and not e.away_name and e.size and (best is None or e.size > best.size):
+            best = e
+    while best is not None:
+        best.primary = True
+        best = best.parent
+    for e in elements:
+        inside, away, named, fits, article, header = e.parent.seen if e.parent else (False,) * 6
+        e.seen = (
+            inside or (e.primary and e.tag in ("article", "main")), away or e.hidden or (e.away and not (e.primary and e.tag in ("form", "fieldset"))), named or (e.away_name and not e.primary), fits or e.fits,
+            article or e.tag == "article", header or (e.tag == "header" and not e.primary),
+        )
+
+
+def _row(block: Block, k: int, n: int) -> tuple[list[float], int]:
     """Features of a block, and its example label: 1 content, 0 boilerplate, -1 none."""
-    text, away, named, fits, inside, in_article = block.text, False, False, False, False, False
-    up = block.element
-    while up is not None:
-        holds = id(up) in primary
-        inside |= up.tag in ("article", "main") and holds
-        in_article |= up.tag == "article"
-        away |= up.hidden or (up.away and not (holds and up.tag in ("form", "fieldset")))
-        named |= up.away_name and not holds
-        fits |= up.fits
-        up = up.parent
-    up = block.element
-    while up is not None:
-        away |= up.tag == "header" and not in_article and id(up) not in primary
-        up = up.parent
+    text = block.text
+    inside, away, named, fits, article, header = block.element.seen
+    away |= header and not article
     words = text.count(" ") + 1
     tag = block.element.tag
     row = [
@@ -234,18 +326,7 @@ def _row(block: Block, k: int, n: int, primary: set[int]) -> tuple[list[float],
 
 
 def _matrix(blocks: list[Block]) -> tuple[np.ndarray, list[int]]:
-    best = None
-    for b in blocks:
-        up = b.element
-        while up is not None:
-            if up.tag in ("article", "main") and not up.away_name and (best is None or up.size > best.size):
-                best = up
-            up = up.parent
-    primary: set[int] = set()
-    while best is not None:
-        primary.add(id(best))
-        best = best.parent
-    rows = [_row(b, k, len(blocks), primary) for k, b in enumerate(blocks)]
+    rows = [_row(b, k, len(blocks)) for k, b in enumerate(blocks)]
     return np.array([r for r, _ in rows], np.float64).reshape(len(rows), len(PRIOR)), [y for _, y in rows]
 
 
@@ -379,11 +460,12 @@ def _extract(batches: Iterator[pa.RecordBatch], shared, html_at: int) -> Iterato
 
 def main_text(pages: DataFrame, *, html_column: str = "html", page_id: str = "page_id") -> DataFrame:
     """``pages`` with text and n_chars in place of the html column."""
-    plain = pages.select(F.col(html_column).alias("html"), F.xxhash64(page_id).alias("o")).where("html is not null")
+    plain = pages.select(F.col(html_column).alias("html"), F.xxhash64(page_id, html_column).alias("o")).where("html is not null")
     total = pages.count()
-    cut = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, TRAIN_PAGES / max(1, total))))
-    sample = plain.where(F.col("o") <= cut).select("html").collect()  # about TRAIN_PAGES rows
-    shared = pages.sparkSession.sparkContext.broadcast(train(sorted(r[0] for r in sample)))
+    cut = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 4 * TRAIN_PAGES / max(1, total))))
+    near = plain.where((F.col("o") <= cut) & (F.octet_length("html") <= TRAIN_BYTES)).orderBy("o").limit(TRAIN_PAGES)
+    sample = near.select("html").collect()  # at most TRAIN_PAGES rows of TRAIN_BYTES
+    shared = pages.sparkSession.sparkContext.broadcast(train(sorted({r[0] for r in sample})))
     source = at.drop_clashing(pages, {"text", "n_chars"} - {html_column.lower()})
     html_at = [c.lower() for c in source.columns].index(html_column.lower())
     fields = [f for k, f in enumerate(source.schema.fields) if k != html_at]

@@ -71,3 +71,40 @@ def test_an_element_without_its_end_does_not_hide_the_rest(start):
 def test_closed_unseen_elements_hide_their_content_only():
     page = "<p>before <svg><title>t</title><text>in</text></svg>after</p><template><div>a</div><p>b</p></template><p>end</p>"
     assert [b.text for b in h.blocks_of(page)] == ["before after", "end"]
+
+
+KEPT = "This paragraph belongs to the article, and it has to stay where it is."
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['title="A hidden valley"', 'data-hidden="false"', 'alt="x id=nav"', 'data-class="nav"', 'class="legal-analysis"', 'class="story-notice"', "data-role=navigation", 'title="style=display:none"', 'class="national-parks"', 'id="searching-for-words"'],
+)
+def test_attributes_that_name_no_boilerplate(attributes):
+    page = f"<body><nav><a href=x>Menu</a></nav><article><h1>Head</h1><p>First paragraph of the article, long enough to be one.</p><div {attributes}><p>{KEPT}</p></div></article></body>"
+    assert KEPT in h.extract(page, h.PRIOR)
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "hidden=hidden", 'style="display: none"', "aria-hidden=true", 'class="big cookie-notice"', "class=site-footer", "id=comments", 'class="post-comments"', "role=navigation", 'class="sidebar-left"', 'class="share-buttons"', 'title="a > b" class="ad-slot"'])
+def test_attributes_that_do(attributes):
+    page = f"<body><article><h1>Head</h1><p>First paragraph of the article, long enough to be one.</p><p>Second paragraph of the article, long enough to be one.</p></article><div {attributes}><p>Something else, which is not of the article.</p></div></body>"
+    assert h.extract(page, h.PRIOR).endswith("to be one.")
+
+
+def test_formulas_keep_their_text():
+    assert h.extract("<article><p>Let <math><mi>n</mi></math> be a number, and let it be a prime.</p></article>", h.PRIOR) == "Let n be a number, and let it be a prime."
+
+
+@pytest.mark.parametrize("piece", ["<a b", "<a '", '<a "x', "<div>", "<div>a", "</p>", "<b><div>x", "<font><h1>t", "<!--", "<head>", "<svg>", "<script>", "<a '>' ", "<li>", "<span><p>", "<", "<!", "&amp", "<a href=x>y", "<td>", "<p>x</p>"])
+def test_odd_markup_takes_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    h.blocks_of(piece * ((1 << 19) // len(piece)))
+    assert time.process_time() - began < 20
+
+
+def test_repeated_ids_train_within_bounds(spark):
+    pages = spark.createDataFrame([(None if k % 2 else 7, "u", SEMANTIC + f"<!-- {k} -->") for k in range(900)], "page_id long, url string, html string")
+    got = h.main_text(pages).select("text").distinct().collect()
+    assert [r.text[:11] for r in got] == ["Café & more"]
