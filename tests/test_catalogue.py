@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from orthoplex import operator_queries
 from orthoplex import queries as catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -26,10 +27,13 @@ def table(columns, rows):
     return sorted(columns), sorted(repr(tuple(r[k] for k in order)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+QUERIES, SQL = catalogue.queries() | operator_queries.queries(), catalogue.oracle_sql() | operator_queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, duck, name):
-    df = catalogue.queries()[name](spark, SF)
-    got = duck.execute(catalogue.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    got = duck.execute(SQL[name])
     assert table(df.columns, df.collect()) == table([d[0] for d in got.description], got.fetchall())
 
 
