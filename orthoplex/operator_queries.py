@@ -197,6 +197,10 @@ _rowset("r12_level_members", "MDSCHEMA_MEMBERS", {"name": "MEMBER_CAPTION", "n_l
 _rowset("r13_model_tables", "TMSCHEMA_TABLES", {"name": "Name"}, _values([(t,) for t in ("lineitem", "orders", "events", "part", "supplier_geo", "customer_geo", "ship_calendar", "order_calendar", "event_calendar")], "name"))
 _rowset("r14_enumerators", "DISCOVER_ENUMERATORS", {"name": "ElementName", "value": "ElementValue"}, _values([("CHILDREN", "1"), ("SIBLINGS", "2"), ("PARENT", "4"), ("SELF", "8")], "name, value"))
 _rowset("r15_sets_are_empty", "MDSCHEMA_SETS", {"name": "SET_NAME"}, "SELECT 'x' AS name WHERE 1 = 0")
+_rowset("r16_literals", "DISCOVER_LITERALS", {"name": "LITERAL_NAME", "value": "LITERAL_VALUE"}, _values([("DBLITERAL_CATALOG_NAME", "TRADE"), ("DBLITERAL_CATALOG_SEPARATOR", "."), ("DBLITERAL_QUOTE_PREFIX", "["), ("DBLITERAL_QUOTE_SUFFIX", "]"), ("DBLITERAL_PASS_THROUGH_COLUMNS", "true")], "name, value"))
+_rowset("r17_server_properties", "DISCOVER_PROPERTIES", {"name": "PropertyName", "access": "PropertyAccessType", "value": "Value"}, _values([("Catalog", "ReadWrite", "TRADE"), ("MDXSupport", "Read", "Core"), ("DbpropMsmdActivityID", "ReadWrite", "")], "name, access, value"), "PropertyName IN ('Catalog', 'MDXSupport', 'DbpropMsmdActivityID')")
+_rowset("r18_schema_rowsets", "DISCOVER_SCHEMA_ROWSETS", {"name": "SchemaName", "id": "SchemaGuid", "n_mask": "RestrictionsMask"}, _values([("MDSCHEMA_CUBES", "C8B522D8-5CF3-11CE-ADE5-00AA0044773D", 31), ("MDSCHEMA_MEMBERS", "C8B522DE-5CF3-11CE-ADE5-00AA0044773D", 16383)], "name, id, n_mask"), "SchemaName IN ('MDSCHEMA_CUBES', 'MDSCHEMA_MEMBERS')")
+_rowset("r19_value_properties", "MDSCHEMA_PROPERTIES", {"name": "PROPERTY_NAME", "level": "LEVEL_UNIQUE_NAME"}, _values([("MEMBER_VALUE", "[Part Type].[Part Type].[(All)]"), ("MEMBER_VALUE", "[Part Type].[Part Type].[Part Type]")], "name, level"), DIMENSION_UNIQUE_NAME="[Part Type]", PROPERTY_TYPE=5)
 
 
 # ---------------------------------------------------------------- formulas and models

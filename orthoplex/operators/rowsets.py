@@ -26,10 +26,79 @@ LEVEL_ALL, LEVEL_REGULAR = 1, 0
 TIME_LEVELS = {"year": 20, "quarter": 68, "month": 84, "week": 132, "date": 96, "day": 96}
 MEMBER_REGULAR, MEMBER_ALL, MEMBER_MEASURE = 1, 2, 3
 TREE_CHILDREN, TREE_SIBLINGS, TREE_PARENT, TREE_SELF = 1, 2, 4, 8
-LITERALS = [(".", "DBLITERAL_CATALOG_SEPARATOR"), ("[", "DBLITERAL_QUOTE_PREFIX"), ("]", "DBLITERAL_QUOTE_SUFFIX")]
 KEYWORDS = "SELECT FROM WHERE ON COLUMNS ROWS NON EMPTY WITH MEMBER SET MEMBERS ALLMEMBERS CHILDREN CROSSJOIN HIERARCHIZE DRILLDOWNLEVEL DRILLDOWNMEMBER ADDCALCULATEDMEMBERS TOPCOUNT BOTTOMCOUNT TOPPERCENT ORDER FILTER EXCEPT UNION DESCENDANTS GENERATE CELL DIMENSION PROPERTIES DRILLTHROUGH MAXROWS".split()
-MEMBER_PROPERTIES = "MEMBER_CAPTION MEMBER_NAME MEMBER_UNIQUE_NAME MEMBER_KEY MEMBER_TYPE MEMBER_VALUE LEVEL_NUMBER LEVEL_UNIQUE_NAME PARENT_LEVEL PARENT_UNIQUE_NAME PARENT_COUNT CHILDREN_CARDINALITY HIERARCHY_UNIQUE_NAME".split()
-CELL_PROPERTIES = "VALUE FORMATTED_VALUE FORMAT_STRING CELL_ORDINAL BACK_COLOR FORE_COLOR FONT_NAME FONT_SIZE".split()
+# Properties of members and of cells, with their content types.
+MEMBER_PROPERTIES = {"MEMBER_CAPTION": 0, "MEMBER_NAME": 0, "MEMBER_UNIQUE_NAME": 1, "MEMBER_KEY": 1, "MEMBER_TYPE": 0, "MEMBER_VALUE": 0, "LEVEL_NUMBER": 0, "LEVEL_UNIQUE_NAME": 1, "PARENT_LEVEL": 0, "PARENT_UNIQUE_NAME": 1, "PARENT_COUNT": 0, "CHILDREN_CARDINALITY": 0}
+MEASURE_PROPERTIES = ("MEMBER_CAPTION", "MEMBER_NAME", "MEMBER_UNIQUE_NAME", "MEMBER_VALUE")
+CELL_PROPERTIES = {"VALUE": 0, "FORMATTED_VALUE": 1, "FORMAT_STRING": 2, "FORE_COLOR": 2, "BACK_COLOR": 2, "FONT_NAME": 2, "FONT_SIZE": 2, "CELL_ORDINAL": 0}
+OF_MEMBER, OF_CELL, OF_VALUE = 1, 2, 5
+# Properties of the server: name, type, writable, value (None: the model's or none).
+SERVER_PROPERTIES = [
+    ("ProviderName", "string", False, "orthoplex"),
+    ("DbpropMsmdSubqueries", "int", True, "2"),
+    ("DbpropMsmdOptimizeResponse", "long", True, "9"),
+    ("DbpropMsmdActivityID", "string", True, None),
+    ("DbpropMsmdCurrentActivityID", "string", True, None),
+    ("ApplicationContext", "string", True, None),
+    ("Catalog", "string", True, None),
+    ("ServerName", "string", False, "orthoplex"),
+    ("ProviderVersion", "string", False, "16.0.0.0"),
+    ("MdpropMdxSubqueries", "int", False, "63"),
+    ("MdpropMdxDrillFunctions", "int", False, "7"),
+    ("MdpropMdxNamedSets", "int", False, "15"),
+    ("MdpropMdxDdlExtensions", "int", False, "23"),
+    ("MDXSupport", "string", False, "Core"),
+]
+# Each rowset's identifier and the columns that may restrict it.
+SCHEMAS = {
+    "DBSCHEMA_CATALOGS": ("C8B52211-5CF3-11CE-ADE5-00AA0044773D", "CATALOG_NAME"),
+    "DBSCHEMA_TABLES": ("C8B52229-5CF3-11CE-ADE5-00AA0044773D", "TABLE_CATALOG TABLE_SCHEMA TABLE_NAME TABLE_TYPE TABLE_OLAP_TYPE"),
+    "MDSCHEMA_CUBES": ("C8B522D8-5CF3-11CE-ADE5-00AA0044773D", "CATALOG_NAME SCHEMA_NAME CUBE_NAME CUBE_SOURCE BASE_CUBE_NAME"),
+    "MDSCHEMA_DIMENSIONS": ("C8B522D9-5CF3-11CE-ADE5-00AA0044773D", "CATALOG_NAME SCHEMA_NAME CUBE_NAME DIMENSION_NAME DIMENSION_UNIQUE_NAME CUBE_SOURCE DIMENSION_VISIBILITY"),
+    "MDSCHEMA_HIERARCHIES": ("C8B522DA-5CF3-11CE-ADE5-00AA0044773D", "CATALOG_NAME SCHEMA_NAME CUBE_NAME DIMENSION_UNIQUE_NAME HIERARCHY_NAME HIERARCHY_UNIQUE_NAME HIERARCHY_ORIGIN CUBE_SOURCE HIERARCHY_VISIBILITY"),
+    "MDSCHEMA_LEVELS": ("C8B522DB-5CF3-11CE-ADE5-00AA0044773D", "CATALOG_NAME SCHEMA_NAME CUBE_NAME DIMENSION_UNIQUE_NAME HIERARCHY_UNIQUE_NAME LEVEL_NAME LEVEL_UNIQUE_NAME LEVEL_ORIGIN CUBE_SOURCE LEVEL_VISIBILITY"),
+    "MDSCHEMA_MEASURES": ("C8B522DC-5CF3-11CE-ADE5-00AA0044773D", "CATALOG_NAME SCHEMA_NAME CUBE_NAME MEASURE_NAME MEASURE_UNIQUE_NAME MEASUREGROUP_NAME CUBE_SOURCE MEASURE_VISIBILITY"),
+    "MDSCHEMA_PROPERTIES": ("C8B522DD-5CF3-11CE-ADE5-00AA0044773D", "CATALOG_NAME SCHEMA_NAME CUBE_NAME DIMENSION_UNIQUE_NAME HIERARCHY_UNIQUE_NAME LEVEL_UNIQUE_NAME MEMBER_UNIQUE_NAME PROPERTY_NAME PROPERTY_TYPE PROPERTY_CONTENT_TYPE PROPERTY_ORIGIN CUBE_SOURCE PROPERTY_VISIBILITY"),
+    "MDSCHEMA_MEMBERS": ("C8B522DE-5CF3-11CE-ADE5-00AA0044773D", "CATALOG_NAME SCHEMA_NAME CUBE_NAME DIMENSION_UNIQUE_NAME HIERARCHY_UNIQUE_NAME LEVEL_UNIQUE_NAME LEVEL_NUMBER MEMBER_NAME MEMBER_UNIQUE_NAME MEMBER_CAPTION MEMBER_TYPE TREE_OP CUBE_SOURCE SCOPE"),
+    "MDSCHEMA_SETS": ("A07CCD0B-8148-11D0-87BB-00C04FC33942", "CATALOG_NAME SCHEMA_NAME CUBE_NAME SET_NAME SCOPE HIERARCHY_UNIQUE_NAME CUBE_SOURCE SET_EVALUATION_CONTEXT"),
+    "MDSCHEMA_KPIS": ("2AE44109-ED3D-4842-B16F-B694D1CB0E3F", "CATALOG_NAME SCHEMA_NAME CUBE_NAME KPI_NAME CUBE_SOURCE SCOPE"),
+    "MDSCHEMA_MEASUREGROUPS": ("E1625EBF-FA96-42FD-BEA6-DB90ADAFD96B", "CATALOG_NAME SCHEMA_NAME CUBE_NAME MEASUREGROUP_NAME"),
+    "MDSCHEMA_MEASUREGROUP_DIMENSIONS": ("A07CCD33-8148-11D0-87BB-00C04FC33942", "CATALOG_NAME SCHEMA_NAME CUBE_NAME MEASUREGROUP_NAME DIMENSION_UNIQUE_NAME DIMENSION_VISIBILITY"),
+    "DISCOVER_DATASOURCES": ("06C03D41-F66D-49F3-B1B8-987F7AF4CF18", "DataSourceName URL ProviderName ProviderType AuthenticationMode"),
+    "DISCOVER_PROPERTIES": ("4B40ADFB-8B09-4758-97BB-636E8AE97BCF", "PropertyName"),
+    "DISCOVER_SCHEMA_ROWSETS": ("EEA0302B-7922-4992-8991-0E605D0E5593", "SchemaName"),
+    "DISCOVER_ENUMERATORS": ("55A9E78B-ACCB-45B4-95A6-94C5065617A7", "EnumName"),
+    "DISCOVER_KEYWORDS": ("1426C443-4CDD-4A40-8F45-572FAB9BBAA1", "Keyword"),
+    "DISCOVER_LITERALS": ("C3EF5ECB-0A07-4665-A140-B075722DBDC2", "LiteralName"),
+    "DISCOVER_XML_METADATA": ("3444B255-171E-4CB9-AD98-19E57888A75F", "DatabaseID DimensionID CubeID MeasureGroupID PartitionID PerspectiveID DimensionPermissionID RoleID DatabasePermissionID MiningModelID MiningModelPermissionID DataSourceID MiningStructureID AggregationDesignID TraceID MiningStructurePermissionID CubePermissionID AssemblyID MdxScriptID DataSourceViewID DataSourcePermissionID CalculatedColumns ObjectExpansion DBWorkloadGroupID ResourcePoolID ModifiedAfter"),
+    "TMSCHEMA_MODEL": ("F1B5C3AB-7CD1-4F77-89A8-9DE3D0C9DBC0", "ID"),
+    "TMSCHEMA_TABLES": ("F1B5C3AC-7CD1-4F77-89A8-9DE3D0C9DBC0", "ID Name"),
+    "TMSCHEMA_COLUMNS": ("F1B5C3AD-7CD1-4F77-89A8-9DE3D0C9DBC0", "ID TableID"),
+    "TMSCHEMA_MEASURES": ("F1B5C3AE-7CD1-4F77-89A8-9DE3D0C9DBC0", "ID TableID"),
+    "TMSCHEMA_HIERARCHIES": ("F1B5C3AF-7CD1-4F77-89A8-9DE3D0C9DBC0", "ID TableID"),
+    "TMSCHEMA_LEVELS": ("F1B5C3B0-7CD1-4F77-89A8-9DE3D0C9DBC0", "ID HierarchyID"),
+    "TMSCHEMA_RELATIONSHIPS": ("F1B5C3B1-7CD1-4F77-89A8-9DE3D0C9DBC0", "ID"),
+    "TMSCHEMA_PARTITIONS": ("F1B5C3B2-7CD1-4F77-89A8-9DE3D0C9DBC0", "ID TableID"),
+    "DISCOVER_CALC_DEPENDENCY": ("F1B5C3B3-7CD1-4F77-89A8-9DE3D0C9DBC0", "DATABASE_NAME OBJECT_TYPE"),
+}
+# Restrictions that are no strings.
+RESTRICTION_TYPES = {
+    **dict.fromkeys(("CUBE_SOURCE", "HIERARCHY_ORIGIN", "LEVEL_ORIGIN", "PROPERTY_ORIGIN", "DIMENSION_VISIBILITY", "HIERARCHY_VISIBILITY", "LEVEL_VISIBILITY", "MEASURE_VISIBILITY", "PROPERTY_VISIBILITY"), "xsd:unsignedShort"),
+    **dict.fromkeys(("PROPERTY_TYPE", "PROPERTY_CONTENT_TYPE"), "xsd:short"),
+    **dict.fromkeys(("MEMBER_TYPE", "TREE_OP", "SCOPE", "SET_EVALUATION_CONTEXT"), "xsd:int"),
+    **dict.fromkeys(("ID", "TableID", "HierarchyID"), "xsd:long"),
+    "LEVEL_NUMBER": "xsd:unsignedInt", "ModifiedAfter": "xsd:dateTime",
+}
+# Columns of the rowsets that may be empty or are nested.
+_NAMES = "CATALOG_NAME string, SCHEMA_NAME string, CUBE_NAME string"
+_TYPES = {
+    "MDSCHEMA_SETS": f"{_NAMES}, SET_NAME string, SCOPE int, DESCRIPTION string, EXPRESSION string, DIMENSIONS string, SET_CAPTION string, SET_DISPLAY_FOLDER string, SET_EVALUATION_CONTEXT int, SET_IS_VISIBLE boolean",
+    "MDSCHEMA_KPIS": f"{_NAMES}, " + ", ".join(f"KPI_{x} string" for x in ("NAME", "CAPTION", "DESCRIPTION", "DISPLAY_FOLDER", "VALUE", "GOAL", "STATUS", "TREND", "STATUS_GRAPHIC", "TREND_GRAPHIC", "WEIGHT", "CURRENT_TIME_MEMBER", "PARENT_KPI_NAME")),
+    "MDSCHEMA_PROPERTIES": f"{_NAMES}, DIMENSION_UNIQUE_NAME string, HIERARCHY_UNIQUE_NAME string, LEVEL_UNIQUE_NAME string, MEMBER_UNIQUE_NAME string, PROPERTY_NAME string, PROPERTY_CAPTION string, PROPERTY_DESCRIPTION string, PROPERTY_TYPE short, PROPERTY_CONTENT_TYPE short",
+    "DISCOVER_SCHEMA_ROWSETS": "SchemaName string, SchemaGuid string, Restrictions array<struct<Name: string, Type: string>>, RestrictionsMask long",
+    "DISCOVER_LITERALS": "LITERAL_NAME string, LITERAL_VALUE string, LITERAL_INVALID_CHARS string, LITERAL_INVALID_STARTING_CHARS string, LITERAL_MAX_LENGTH int, LITERAL_SUFFIX string",
+    "DISCOVER_PROPERTIES": "PropertyName string, PropertyDescription string, PropertyType string, PropertyAccessType string, IsRequired boolean, Value string",
+}
 
 
 def quoted(name: str) -> str:
@@ -141,13 +210,34 @@ def _group_dimensions(cube: Cube, g: Grant) -> list[dict[str, Any]]:
 
 
 def _properties(cube: Cube, g: Grant) -> list[dict[str, Any]]:
-    out = [{**_base(cube), "DIMENSION_UNIQUE_NAME": quoted(d.caption), "HIERARCHY_UNIQUE_NAME": hierarchy_name(d), "LEVEL_UNIQUE_NAME": level_name(d, k), "PROPERTY_TYPE": 1, "PROPERTY_NAME": p, "PROPERTY_CAPTION": p} for d in _visible(cube, g) for k in range(len(d.chain) + int(d.has_all)) for p in MEMBER_PROPERTIES]
-    return out + [{**_base(cube), "DIMENSION_UNIQUE_NAME": "", "HIERARCHY_UNIQUE_NAME": "", "LEVEL_UNIQUE_NAME": "", "PROPERTY_TYPE": 2, "PROPERTY_NAME": p, "PROPERTY_CAPTION": p} for p in CELL_PROPERTIES]
+    def row(kind: int, name: str, content: int, *at: str) -> dict[str, Any]:
+        place = dict(zip(("DIMENSION_UNIQUE_NAME", "HIERARCHY_UNIQUE_NAME", "LEVEL_UNIQUE_NAME"), at))
+        return {**_base(cube), **place, "PROPERTY_NAME": name, "PROPERTY_CAPTION": name, "PROPERTY_TYPE": kind, "PROPERTY_CONTENT_TYPE": content}
+
+    measures = ("[Measures]", "[Measures]", "[Measures].[MeasuresLevel]")
+    levels = [(quoted(d.caption), hierarchy_name(d), level_name(d, k)) for d in _visible(cube, g) for k in range(len(d.chain) + int(d.has_all))]
+    out = [row(OF_MEMBER, p, c, *at) for at in levels for p, c in MEMBER_PROPERTIES.items()]
+    out += [row(OF_MEMBER, p, MEMBER_PROPERTIES[p], *measures) for p in MEASURE_PROPERTIES]
+    out += [row(OF_CELL, p, c, "[Measures]") for p, c in CELL_PROPERTIES.items()]
+    return out + [row(OF_VALUE, "MEMBER_VALUE", 0, *at) for at in (measures, *levels)]
 
 
 def _server_properties(cube: Cube, g: Grant) -> list[dict[str, Any]]:
-    values = [("Catalog", "string", "ReadWrite", cube.model.catalog), ("ProviderName", "string", "Read", "orthoplex"), ("ProviderVersion", "string", "Read", "1.0"), ("ServerName", "string", "Read", "orthoplex"), ("MDXSupport", "string", "Read", "Core"), ("MdpropMdxSubqueries", "int", "Read", "3"), ("MdpropMdxDrillFunctions", "int", "Read", "3"), ("MdpropMdxNamedSets", "int", "Read", "0"), ("DbpropMsmdSubqueries", "int", "ReadWrite", "1")]
-    return [{"PropertyName": n, "PropertyDescription": n, "PropertyType": t, "PropertyAccessType": a, "IsRequired": False, "Value": v} for n, t, a, v in values]
+    own = {"Catalog": cube.model.catalog}
+    return [{"PropertyName": n, "PropertyDescription": n, "PropertyType": t, "PropertyAccessType": "ReadWrite" if w else "Read", "IsRequired": False, "Value": own.get(n, v) or ""} for n, t, w, v in SERVER_PROPERTIES]
+
+
+def _literals(cube: Cube, g: Grant) -> list[dict[str, Any]]:
+    values = [("CATALOG_NAME", cube.model.catalog, 128), ("CATALOG_SEPARATOR", ".", None), ("QUOTE_PREFIX", "[", None), ("QUOTE_SUFFIX", "]", None), ("PASS_THROUGH_COLUMNS", "true", None)]
+    return [{"LITERAL_NAME": f"DBLITERAL_{n}", "LITERAL_VALUE": v, "LITERAL_MAX_LENGTH": size} for n, v, size in values]
+
+
+def _schemas(cube: Cube, g: Grant) -> list[dict[str, Any]]:
+    out = []
+    for name, (identifier, restricted) in SCHEMAS.items():
+        by = [{"Name": c, "Type": RESTRICTION_TYPES.get(c, "xsd:string")} for c in restricted.split()]
+        out.append({"SchemaName": name, "SchemaGuid": identifier, "Restrictions": by, "RestrictionsMask": (1 << len(by)) - 1})
+    return out
 
 
 def _model_rows(kind: str) -> Callable[[Cube, Grant], list[dict[str, Any]]]:
@@ -194,8 +284,8 @@ _SOURCES: dict[str, tuple[Callable[[Cube, Grant], list[dict[str, Any]]], str]] =
     "MDSCHEMA_SETS": (lambda c, g: [], "SET_NAME"),
     "MDSCHEMA_KPIS": (lambda c, g: [], "KPI_NAME"),
     "DISCOVER_PROPERTIES": (_server_properties, "PropertyName"),
-    "DISCOVER_SCHEMA_ROWSETS": (lambda c, g: [{"SchemaName": n, "SchemaGuid": guid("rowset", n), "Description": ""} for n in rowset_names()], "SchemaName"),
-    "DISCOVER_LITERALS": (lambda c, g: [{"LiteralName": n, "LiteralValue": v, "LiteralInvalidChars": "", "LiteralInvalidStartingChars": "", "LiteralMaxLength": -1} for v, n in LITERALS], "LiteralName"),
+    "DISCOVER_SCHEMA_ROWSETS": (_schemas, "SchemaName"),
+    "DISCOVER_LITERALS": (_literals, "LITERAL_NAME"),
     "DISCOVER_ENUMERATORS": (lambda c, g: [{"EnumName": "TreeOp", "EnumDescription": "", "EnumType": "int", "ElementName": n, "ElementValue": str(v)} for n, v in (("CHILDREN", 1), ("SIBLINGS", 2), ("PARENT", 4), ("SELF", 8))], "EnumName"),
     "DISCOVER_KEYWORDS": (lambda c, g: [{"Keyword": k} for k in KEYWORDS], "Keyword"),
     "DISCOVER_DATASOURCES": (lambda c, g: [{"DataSourceName": "orthoplex", "DataSourceDescription": "", "URL": "/xmla", "DataSourceInfo": "", "ProviderName": "orthoplex", "ProviderType": "MDP", "AuthenticationMode": "Unauthenticated"}], "DataSourceName"),
@@ -210,19 +300,25 @@ def rowset_names() -> list[str]:
 
 
 def rowset(cube: Cube, name: str, restrictions: dict[str, Any] | None = None, user: User | None = None) -> DataFrame:
-    """A rowset by name, restricted by column values."""
+    """A rowset by name, restricted by column values; properties of members are given where their type is asked for."""
     g = grant(cube.model, user)
     if name == "MDSCHEMA_MEMBERS":
         return member_rows(cube, restrictions or {}, g)
     if name not in _SOURCES:
         raise KeyError(f"unknown rowset {name!r}")
     source, key = _SOURCES[name]
-    rows = source(cube, g)
-    for column, value in (restrictions or {}).items():
-        rows = [r for r in rows if column not in r or value in (None, "") or str(r[column]) == str(value)]
-    if not rows:
-        return cube.spark.createDataFrame([], f"`{key}` string")
-    return cube.spark.createDataFrame(rows)
+    asked = {c: v for c, v in (restrictions or {}).items() if v not in (None, "")}
+    if name == "DISCOVER_LITERALS" and "LiteralName" in asked:
+        asked["LITERAL_NAME"] = asked.pop("LiteralName")
+    rows = every = source(cube, g)
+    if name == "MDSCHEMA_PROPERTIES" and "PROPERTY_TYPE" not in asked:
+        rows = [r for r in rows if r["PROPERTY_TYPE"] != OF_MEMBER]
+    for column, value in asked.items():
+        rows = [r for r in rows if column not in r or str(r[column]) == str(value)]
+    types = _TYPES.get(name)
+    if not rows and not types:
+        types = cube.spark.createDataFrame(every).schema if every else f"`{key}` string"
+    return cube.spark.createDataFrame(rows, types) if types else cube.spark.createDataFrame(rows)
 
 
 def parse_member(cube: Cube, unique: str) -> tuple[Dimension | None, tuple[str, ...]]:

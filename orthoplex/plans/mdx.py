@@ -151,6 +151,8 @@ def _unbracket(text: str) -> str:
 
 
 def parse(text: str) -> Select:
+    if text.split(None, 1)[:1] and text.split(None, 1)[0].lower() in ("evaluate", "define"):
+        raise MdxError("DAX queries are not supported: ask in MDX")
     reader = _Reader(text.strip().rstrip(";"))
     drill, most = reader.word("drillthrough"), None
     if drill and reader.word("maxrows"):

@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from orthoplex.operators.cellset import Axis, Cellset, cellset
 from orthoplex.operators.cube import Cube
@@ -29,7 +30,7 @@ MAX_BODY = 1 << 20
 SOAP, ANALYSIS = "http://schemas.xmlsoap.org/soap/envelope/", "urn:schemas-microsoft-com:xml-analysis"
 ROWSET, DATASET, EMPTY = ANALYSIS + ":rowset", ANALYSIS + ":mddataset", ANALYSIS + ":empty"
 XSD, XSI = "http://www.w3.org/2001/XMLSchema", "http://www.w3.org/2001/XMLSchema-instance"
-_XSD = {"string": "xsd:string", "int": "xsd:int", "bigint": "xsd:long", "double": "xsd:double", "boolean": "xsd:boolean", "timestamp": "xsd:dateTime", "timestamp_ntz": "xsd:dateTime", "date": "xsd:date", "float": "xsd:float"}
+_XSD = {"string": "xsd:string", "smallint": "xsd:short", "int": "xsd:int", "bigint": "xsd:long", "double": "xsd:double", "boolean": "xsd:boolean", "timestamp": "xsd:dateTime", "timestamp_ntz": "xsd:dateTime", "date": "xsd:date", "float": "xsd:float"}
 
 
 @dataclass
@@ -89,14 +90,33 @@ def element_name(name: str) -> str:
     return "".join(c if c.isalnum() or c in "_-." else f"_x{ord(c):04X}_" for c in name)
 
 
+def _declared(field: StructField) -> str:
+    """The schema element of a column; an array repeats its element."""
+    kind, many = field.dataType, ""
+    if isinstance(kind, ArrayType):
+        kind, many = kind.elementType, ' maxOccurs="unbounded"'
+    head = f'<xsd:element sql:field={quoteattr(field.name)} name={quoteattr(element_name(field.name))} minOccurs="0"{many}'
+    if isinstance(kind, StructType):
+        return f'{head}><xsd:complexType><xsd:sequence>{"".join(map(_declared, kind))}</xsd:sequence></xsd:complexType></xsd:element>'
+    return f'{head} type="{_XSD.get(kind.simpleString().split("(")[0], "xsd:string")}"/>'
+
+
+def _fields(value: Row) -> str:
+    """The elements of a row; nulls are left out."""
+    out = []
+    for name, found in zip(value.__fields__, value):
+        x = element_name(name)
+        for one in found if isinstance(found, list) else [found]:
+            if one is not None:
+                out.append(f"<{x}>{_fields(one) if isinstance(one, Row) else escape(_text(one))}</{x}>")
+    return "".join(out)
+
+
 def rowset_xml(df: DataFrame) -> str:
-    """A DataFrame as a rowset with its inline schema; nulls are left out."""
-    fields = [(f.name, element_name(f.name), _XSD.get(f.dataType.simpleString().split("(")[0], "xsd:string")) for f in df.schema]
-    schema = "".join(f'<xsd:element sql:field={quoteattr(n)} name={quoteattr(x)} type="{t}" minOccurs="0"/>' for n, x, t in fields)
+    """A DataFrame as a rowset with its inline schema."""
+    schema = "".join(map(_declared, df.schema))
     head = f'<xsd:schema targetNamespace="{ROWSET}" xmlns:sql="urn:schemas-microsoft-com:xml-sql" elementFormDefault="qualified"><xsd:element name="root"><xsd:complexType><xsd:sequence minOccurs="0" maxOccurs="unbounded"><xsd:element name="row" type="row"/></xsd:sequence></xsd:complexType></xsd:element><xsd:complexType name="row"><xsd:sequence>{schema}</xsd:sequence></xsd:complexType></xsd:schema>'
-    rows = []
-    for r in df.toLocalIterator():
-        rows.append("<row>" + "".join(f"<{x}>{escape(_text(r[k]))}</{x}>" for k, (_, x, _) in enumerate(fields) if r[k] is not None) + "</row>")
+    rows = [f"<row>{_fields(r)}</row>" for r in df.toLocalIterator()]
     return f'<root xmlns="{ROWSET}" xmlns:xsd="{XSD}" xmlns:xsi="{XSI}">{head}{"".join(rows)}</root>'
 
 

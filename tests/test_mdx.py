@@ -113,6 +113,12 @@ def test_syntax_errors(text):
         mdx.parse(text)
 
 
+@pytest.mark.parametrize("text", ["EVALUATE 'Sales'", "define measure Sales[m] = 1 evaluate {[m]}"])
+def test_formula_queries_are_refused_by_name(text):
+    with pytest.raises(mdx.MdxError, match="DAX"):
+        mdx.parse(text)
+
+
 @pytest.mark.parametrize("text", ["SELECT {[Measures].[Nope]} ON 0 FROM [Sales]", "SELECT [Nope].Members ON 0 FROM [Sales]", "SELECT Linreg([Category].Members) ON 0 FROM [Sales]"])
 def test_unknown_names(text):
     with pytest.raises(ModelError):
