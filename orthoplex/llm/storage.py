@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a folder of our own only where it is unset and all threads are in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.gettempdir() + "/orthoplex-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
