@@ -37,7 +37,8 @@ from orthoplex.llm import simhash, storage
 
 SLACK, BROADCAST_SETS, SKETCH = 16, 1_000_000, 8  # sketches of so many longs
 DISTANCE = 3  # bits; at four the trees copy each fingerprint to ten shards
-BLOCK, AT_ONCE = 1024, 1 << 17  # sets of a hash that meet in one cell, from either side; pairs handled at once
+BLOCK, AT_ONCE = 1024, 1 << 14  # sets of a hash that meet in one cell, from either side; pairs held at once
+NUMBERS = 1 << 18  # hashes of sets handled at once, beyond those of one pair or cell
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -165,33 +166,43 @@ def fingerprint_pairs(marks: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _once(x: np.ndarray, y: np.ndarray, code: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which pairs of rows share no hash before the one at hand; hashes are numbered in order."""
-    first, codes, keys = lists
-    size = int(codes.max()) + 1
-    each = np.diff(first)[x]
-    pair = np.repeat(np.arange(len(x)), each)
-    c = codes[np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each) + first[x][pair]]
-    before = c < code[x][pair]
-    pair, c = pair[before], c[before]
-    wanted = y[pair] * size + c
-    met = keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+def _once(x: np.ndarray, y: np.ndarray, first: np.ndarray, keys: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
+    """Which pairs of rows have no number in common; those of a row begin at ``first``, ``keys`` are row * size + number."""
     out = np.ones(len(x), bool)
-    out[pair[met]] = False
+    each = np.diff(first)[x]
+    total = np.cumsum(each)
+    i = 0
+    while i < len(x) and len(keys):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - each[i] + NUMBERS, "right")))
+        some = each[i:j]
+        pair = np.repeat(np.arange(i, j), some)
+        wanted = codes[np.arange(len(pair)) - np.repeat(np.cumsum(some) - some, some) + first[x[pair]]] + y[pair] * size
+        out[pair[keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted]] = False
+        i = j
     return out
 
 
+def _runs(cells: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Whole cells, as many as have few numbers."""
+    h, i, j = (cells.column(c).to_numpy() for c in ("h", "i", "j"))
+    starts = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(h)]])
+    numbers = (cells.column("hs").offsets.to_numpy().astype(np.int64) + SKETCH * np.arange(len(h) + 1))[starts]
+    a = 0
+    while a < len(starts) - 1:
+        b = max(a + 1, int(np.searchsorted(numbers, numbers[a] + NUMBERS, "right")) - 1)
+        yield cells.slice(starts[a], starts[b] - starts[a])
+        a = b
+
+
 def _cell_pairs(cells: pa.RecordBatch, part: Fraction) -> Iterator[pa.RecordBatch]:
     """Pairs in whole cells, sorted by cell, that the sketches do not tell apart."""
     p, q = part.numerator, part.denominator
     h, i, j, side, fp, n, root = (cells.column(c).to_numpy() for c in ("h", "i", "j", "side", "fp", "n", "root"))
     bits = np.stack([cells.column(f"s{k}").to_numpy() for k in range(SKETCH)], axis=1).view(np.uint64)
-    hs = cells.column("hs")
-    first = hs.offsets.to_numpy().astype(np.int64)
+    first = cells.column("hs").offsets.to_numpy().astype(np.int64)
     first -= first[0]
-    known, codes = np.unique(hs.flatten().to_numpy(), return_inverse=True)
-    lists = first, codes, np.repeat(np.arange(len(h)), np.diff(first)) * len(known) + codes
-    code, n = np.searchsorted(known, h), n.astype(np.int64)
+    known, codes = np.unique(cells.column("hs").flatten().to_numpy(), return_inverse=True)
+    keys, n = np.repeat(np.arange(len(h)), np.diff(first)) * len(known) + codes, n.astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
     sizes = np.diff(np.concatenate([starts, [len(h)]]))
     end, rows, across = np.repeat(starts + sizes, sizes), np.arange(len(h)), i != j
@@ -207,7 +218,7 @@ def _cell_pairs(cells: pa.RecordBatch, part: Fraction) -> Iterator[pa.RecordBatc
         if held and (held >= AT_ONCE or not len(rows)):
             x, y = (np.concatenate(z) for z in zip(*found, strict=True))
             found, held = [], 0
-            fresh = _once(x, y, code, lists)
+            fresh = _once(x, y, first, keys, codes, len(known))
             a, b = fp[x[fresh]], fp[y[fresh]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -220,13 +231,16 @@ def _map_cells(batches: Iterator[pa.RecordBatch], part: Fraction) -> Iterator[pa
         h, i, j = (batch.column(c).to_numpy() for c in ("h", "i", "j"))
         last = int(np.flatnonzero((h != h[-1]) | (i != i[-1]) | (j != j[-1]))[-1:].sum() + 1) if (h[0], i[0], j[0]) != (h[-1], i[-1], j[-1]) else 0
         if held and (last or tuple(held[-1].column(c)[-1].as_py() for c in "hij") != (h[0], i[0], j[0])):
-            yield from _cell_pairs(pa.concat_batches([*held, batch.slice(0, last)]), part)
+            for cells in _runs(pa.concat_batches([*held, batch.slice(0, last)])):
+                yield from _cell_pairs(cells, part)
             held = []
         elif last:
-            yield from _cell_pairs(batch.slice(0, last), part)
+            for cells in _runs(batch.slice(0, last)):
+                yield from _cell_pairs(cells, part)
         held.append(batch.slice(last))
     if held:
-        yield from _cell_pairs(pa.concat_batches(held), part)
+        for cells in _runs(pa.concat_batches(held)):
+            yield from _cell_pairs(cells, part)
 
 
 def open_pairs(placed: DataFrame, sets: DataFrame, part: Fraction, block: int = BLOCK) -> DataFrame:
@@ -234,7 +248,7 @@ def open_pairs(placed: DataFrame, sets: DataFrame, part: Fraction, block: int =
     bits = [f"s{k}" for k in range(SKETCH)]
     split = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("h", F.expr(f"cast(ceil(m / {block}) as int)").alias("blocks"))
     lists = placed.join(split, "h").groupBy("fp", "n", "root").agg(F.array_sort(F.collect_list(F.struct("h", "blocks"))).alias("x")).join(sets.select("fp", *bits), "fp")
-    each = lists.select("fp", "n", "root", *bits, F.col("x.h").alias("hs"), F.explode("x").alias("y")).withColumn("side", F.expr("cast(pmod(xxhash64(fp), y.blocks) as int)"))
+    each = lists.select("fp", "n", "root", *bits, "x", F.posexplode("x").alias("k", "y")).withColumn("hs", F.expr("slice(x.h, 1, k)")).withColumn("side", F.expr("cast(pmod(xxhash64(fp), y.blocks) as int)"))
     dealt = each.withColumn("other", F.explode(F.expr("sequence(0, y.blocks - 1)"))).select("y.h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "fp", "n", "root", "hs", *bits)
     cells = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     return cells.mapInArrow(lambda it: _map_cells(it, part), "a long, b long")
