@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from orthoplex.llm import storage
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Adds ``place`` (from 0) and, for each of ``sums``, the total over earlier rows, without bringing all rows to one task."""
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], few: bool = False) -> DataFrame:
+    """Adds ``place`` (from 0) and, for each of ``sums``, the total over earlier rows, without bringing all rows to one task unless they are ``few``."""
+    if few:
+        own = Window.orderBy(*order)
+        earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", (F.row_number().over(own) - 1).cast("long").alias("place"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(name) for c, name in sums.items()])
     dealt = storage.stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orthoplex.llm import mixing
 from orthoplex.llm.ranges import running
-from tests.llm.helpers import documents, odd_texts
+from tests.llm.helpers import documents, odd_texts, rows_of
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -123,3 +123,27 @@ def test_a_huge_group_of_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SPAN", 7)
     got = mixing.plan(documents(spark, [(1, "a b c", "en", "s")] * 500 + [(2, "x y", "en", "t")] * 40)).collect()
     assert len(got) == 540 and sum(r.taken for r in got if r.doc_id == 1) == pytest.approx(got[0].target if got[0].doc_id == 1 else next(r.target for r in got if r.doc_id == 1), abs=3)
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """What a plan's text and its joins cost the driver: the rounding's step stands in it once, and each source's facts are joined once."""
+    plans, stored = [], mixing.storage.stored
+    text = lambda df: df._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(mixing.storage, "stored", lambda df, name: plans.append(text(df)) or stored(df, name))
+    plans.append(text(mixing.plan(documents(spark, corpus(8, 200)))))
+    assert sum(p.count("Join ") for p in plans) <= 2 and max(map(len, plans)) < 20_000
+
+
+def test_whole_units_in_a_tree(spark):
+    """Units that nothing is left to decide of pass through the rounds as they are."""
+    units = spark.range(200).selectExpr("'s' as source", "4L as groups", "named_struct('h', xxhash64(id), 'id', id, 'size', 10L) as unit", "case id % 4 when 0 then 0d when 1 then 1d else 0.5d end as p")
+    done, left = mixing._tree(units, 4, 1)
+    take = {r.unit.id: r.take for r in done.collect()}
+    assert len(take) + left.count() == 200 and all(take[k] == k % 4 for k in range(200) if k % 4 < 2)
+    assert abs(sum(v for k, v in take.items() if k % 4 > 1) - 50) <= 1
+
+
+def test_running_over_few_rows(spark):
+    df = spark.range(50).select((F.col("id") * 7 % 50).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"))
+    one, two = (running(df, [F.col("k").desc()], {"v": "before"}, few) for few in (False, True))
+    assert rows_of(one, *one.columns) == rows_of(two, *one.columns) and one.dtypes == two.dtypes
